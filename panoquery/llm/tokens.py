@@ -4,22 +4,20 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 
 END = 0
 ID_TYPE = np.dtype("<u4")
 CACHE_WORDS = 1_000_000
-# The published pre-tokenisation pattern of byte-level BPE; a fixed value.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Texts with any other character are encoded whole, so that libraries can't differ in character classes.
+# Byte-level BPE splits a text into contractions, runs of letters, of digits and of other signs (each with a space before),
+# and spaces. For texts of these characters the classes are plain ranges; other texts are encoded whole, so that libraries
+# can't differ in character classes.
 PLAIN = re.compile("[\t-\r -~¡-ɏ]*")
-
-
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+PIECES = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 def byte_bpe() -> str:
     import public_tokenizers
 
@@ -41,29 +39,48 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = list(pieces)
+        e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        ends = np.searchsorted(np.array(e.word_ids), np.arange(len(new)), "right").tolist()
+        raw = np.array(e.ids, ID_TYPE).tobytes()
+        self.known.update(zip(new, (raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
         end = np.array([END], ID_TYPE).tobytes()
+        flat: list[str] = []
+        cuts: list[int | None] = []
         for text in texts:
-            if not text:
-                yield np.frombuffer(end, ID_TYPE)
-            elif PLAIN.fullmatch(text):
-                pieces = PIECES.findall(text)
-                if len(self.known) > CACHE_WORDS:
-                    self.known.clear()
-                new = [x for x in set(pieces) if x not in self.known]
-                if new:
-                    for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        self.known[x] = array("I", e.ids).tobytes()
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, pieces)) + end, ID_TYPE)
+            if not text or PLAIN.fullmatch(text):
+                flat += PIECES.findall(text or "")
+                cuts.append(len(flat))
             else:
-                yield np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], ID_TYPE)
+                cuts.append(None)
+        got = list(map(self.known.get, flat))
+        missing = {x for x, g in zip(flat, got, strict=True) if g is None}
+        if missing:
+            self.learn(missing)
+            got = [self.known[x] if g is None else g for x, g in zip(flat, got, strict=True)]
+        out, at = [], 0
+        for text, cut in zip(texts, cuts, strict=True):
+            if cut is None:
+                out.append(np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], ID_TYPE))
+            else:
+                out.append(np.frombuffer(b"".join(got[at:cut]) + end, ID_TYPE))
+                at = cut
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}  # a worker that is used again keeps what it has learned
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 256) -> Iterator[tuple[list, list[np.ndarray]]]:
     """doc_ids and id arrays of a few documents at a time, from batches with doc_id and text."""
-    encoder = Encoder(path)
+    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             part = batch.slice(i, rows)
-            yield part.column("doc_id").to_pylist(), list(encoder.encode(part.column("text").to_pylist()))
+            yield part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())
