@@ -173,8 +173,9 @@ def inverted(classes: DataFrame, p: Params) -> DataFrame:
     return classes.select("rep", "n", "sketch").mapInArrow(rows, "key long, nxt long, rep long")
 
 
-def overlaps(members: DataFrame) -> DataFrame:
+def overlaps(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b), a < b: pairs from inverted lists, at most three for each member; only between different groups ``g``.
+    And (key, nxt, rep) of the lists that may have more than one member, for the next round.
 
     ``members`` (key, nxt, rep, g) is dealt out by ranges of (key, nxt), so that a list of any length spreads over tasks.
     Within a task a member meets its neighbour, the smallest member that the task has of its list so far in the batch,
@@ -186,12 +187,16 @@ def overlaps(members: DataFrame) -> DataFrame:
         first_key = None
         edge = []
         for batch in batches:
-            key, rep, g = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "g"))
+            key, rep, g, nxt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "g", "nxt"))
             if len(key) == 0:
                 continue
             if first_key is None:
                 first_key = key[0]
                 edge.append((key[0], rep[0], g[0]))
+            more = np.append(key[1:] == key[:-1], True)
+            more[1:] |= key[1:] == key[:-1]
+            more[0] = True
+            yield listed(key[more], nxt[more], rep[more])
             if carried is not None:
                 key, rep, g = (np.concatenate([[x], y]) for x, y in zip(carried, (key, rep, g), strict=True))
             begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -228,20 +233,23 @@ def overlaps(members: DataFrame) -> DataFrame:
             edge.append(carried)
             yield out(np.zeros((0, 2), np.int64), edge)
 
+    names = ["key", "a", "b", "kind"]
+
     def out(found: np.ndarray, edge: list) -> pa.RecordBatch:
         n, m = len(found), len(edge)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([None] * n + [e[0] for e in edge], pa.int64()), pa.array(np.append(found[:, 0], [e[1] for e in edge]).astype(np.int64)), pa.array(np.append(found[:, 1], [e[2] for e in edge]).astype(np.int64)), pa.array([False] * n + [True] * m)],
-            ["key", "a", "b", "edge"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array([None] * n + [e[0] for e in edge], pa.int64()), pa.array(np.append(found[:, 0], [e[1] for e in edge]).astype(np.int64)), pa.array(np.append(found[:, 1], [e[2] for e in edge]).astype(np.int64)), pa.array(["pair"] * n + ["edge"] * m)], names)
+
+    def listed(key: np.ndarray, nxt: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(nxt), pa.array(rep), pa.array(["member"] * len(key))], names)
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.select("key", "nxt", "rep", "g").repartitionByRange(parts, "key", "nxt", "rep").sortWithinPartitions("key", "nxt", "rep")
-    made = materialise(dealt.mapInArrow(pairs, "key long, a long, b long, edge boolean"), "overlaps")
-    ends = made.where("edge").select("key", F.col("a").alias("rep"), F.col("b").alias("g")).distinct()
+    made = materialise(dealt.mapInArrow(pairs, "key long, a long, b long, kind string"), "overlaps")
+    ends = made.where("kind = 'edge'").select("key", F.col("a").alias("rep"), F.col("b").alias("g")).distinct()
     heads = ends.groupBy("key").agg(F.min(F.struct("g", "rep")).alias("h"))
     spread = ends.join(heads, "key").where("g <> h.g").select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b"))
-    return made.where("not edge").select("a", "b").unionByName(spread).where("a <> b").distinct()
+    found = made.where("kind = 'pair'").select("a", "b").unionByName(spread).where("a <> b").distinct()
+    return found, made.where("kind = 'member'").select("key", F.col("a").alias("nxt"), F.col("b").alias("rep"))
 
 
 def _estimate(p: Params):
@@ -303,7 +311,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), rounds: int = 8) -> D
         if found is not None:
             roots = found.select(F.col("a").alias("rep"), F.col("b").alias("root"))
             members = lists.join(roots, "rep", "left").select("key", "nxt", "rep", F.coalesce("root", "rep").alias("g"))
-        pairs = overlaps(members)
+        pairs, left = overlaps(members)
+        lists = left if not turn else lists
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
