@@ -1,10 +1,58 @@
-"""A corpus pipeline of five stages, each one operator of ``panoquery.llm``."""
+"""A corpus pipeline of five stages, each one operator of ``panoquery.llm``.
+
+Every stage works on all that the one before has kept. All but the last return the columns of documents:
+toxic documents go; repeated passages are taken out of all but their first document (a document that consisted of
+nothing else goes); one document of each near-duplicate group stays; documents that hold benchmark items go; what is left
+is packed into sequences (one row per piece, with its ids).
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panoquery.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
+from panoquery.llm.common import materialise, without
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("toxicity < 0.5").select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs).where("lines_removed = 0 or trim(text) <> ''")
+    return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(docs, near_dedup.Params(words=5, percent=80))
+    return without(docs, materialise(found.where("not kept").select("doc_id").distinct(), "copies"), "doc_id").select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, materialise(found.select("doc_id").distinct(), "leaks"), "doc_id").select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("line dedup", repeated_lines),
+    ("minhash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("packing", packed_sequences),
+]
+
+#: A trained model and a tokenizer can't be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        rows = materialise(stage(spark, rows, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, rows, sf_dir)

@@ -39,6 +39,11 @@ def semi(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> Data
     return df.join(F.broadcast(ids) if small(ids, most) else ids, key, "left_semi")
 
 
+def without(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``ids``; null keys stay. Broadcast up to ``most`` ids, shuffled beyond."""
+    return df.join(F.broadcast(ids) if small(ids, most) else ids, key, "left_anti")
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text column; null counts as empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
