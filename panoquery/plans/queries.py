@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from panoquery.functions import scalar
 from panoquery.operators import folds, geometry, knn, pairs, pixels, stats, windows
+from panoquery.plans import mosaic
+from panoquery.streaming import ordered
 
 TAU = 0.04
 QUERIES = {}
@@ -194,9 +196,9 @@ def aggregate_speedup(spark, sf):
     return stats.aggregate_speedup(rows, "l_returnflag", "l_linestatus").withColumn("speedup", F.round("speedup", 4))
 
 
-@query("SELECT o_custkey % 50 AS win_idx, o_orderpriority AS candidate, printf('%d-%d', (o_custkey % 50) * 4, (o_custkey % 50) * 4 + 4) AS label, round(avg(o_totalprice), 7) AS speedup FROM orders GROUP BY 1, 2")
+@query("SELECT o_custkey % 50 AS win_idx, o_orderpriority AS candidate, printf('%d-%d', (o_custkey % 50) * 4, (o_custkey % 50) * 4 + 4) AS label, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / CAST(100 * count(*) AS DOUBLE) AS speedup FROM orders GROUP BY 1, 2")
 def window_speedup(spark, sf):
-    g = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 50).alias("win_idx"), F.col("o_orderpriority").alias("candidate")).agg(F.round(F.avg("o_totalprice"), 7).alias("speedup"))
+    g = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 50).alias("win_idx"), F.col("o_orderpriority").alias("candidate")).agg(F.expr("cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / cast(100 * count(*) as double)").alias("speedup"))
     return g.select("win_idx", "candidate", F.format_string("%d-%d", F.col("win_idx") * 4, F.col("win_idx") * 4 + 4).alias("label"), "speedup")
 
 
@@ -317,3 +319,22 @@ def linear_fold(spark, sf):
 def tree_fold(spark, sf):
     out = folds.tree_fold(frames(spark, sf), "win_idx", "local_idx", "v", gate, average, 4)
     return out.select("win_idx", "n_merged", F.round(F.aggregate("acc", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1")
+def stream_ordered(spark, sf):
+    schema = table(spark, sf, "events").select("event_id", "user_id", "value").schema
+    return ordered.run(spark, sf, "events.parquet", schema).withColumnRenamed("key", "user_id")
+
+
+@query(None)
+def extract_stage(spark, sf):
+    made = mosaic.extract(mosaic.synthetic(spark))
+    return made.select("pos", F.size("keypoints").alias("n_keypoints"), (F.octet_length("descriptors") / 512).cast("int").alias("n_descriptors"))
+
+
+@query(None)
+def mosaic_windows(spark, sf):
+    features = mosaic.extract(mosaic.synthetic(spark))
+    out = [f(features).select(F.lit(name).alias("fold"), "win_idx", "height", "width", "n_frames", "n_merged") for name, f in (("linear", mosaic.linear), ("tree", mosaic.tree))]
+    return out[0].unionByName(out[1])
