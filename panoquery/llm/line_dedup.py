@@ -3,7 +3,8 @@
 A line ends at a newline, at the end of a sentence, or after ``Params.words`` words: passages repeat inside longer lines
 too, and sentences are where they can be taken out cleanly. Every three lines that follow each other are a window; its
 hash is looked for in all documents. The first window (smallest doc_id, then position) stays; lines that any later one
-covers go, and what stays is joined again as it was. Windows of fewer than ``Params.least`` words are left alone.
+covers go, and what stays is joined again as it was. Windows of fewer than ``Params.least`` characters are left
+alone.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from panoquery.llm.common import materialise
 @dataclass(frozen=True)
 class Params:
     words: int = 12
-    least: int = 12
+    least: int = 40
 
 
 def lines(text: Column, p: Params) -> Column:
@@ -27,44 +28,49 @@ def lines(text: Column, p: Params) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"\s*+(?:\S++(?<![.!?])[^\S\n]++(?!\n)){{0,{p.words - 1}}}\S++\s*+"), F.lit(0))
 
 
-def plain(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(F.translate(line, "\t\n\r", "   ")), r"\s+", " "))
+def tag(text: Column) -> Column:
+    """32 bits that tell rows with the same doc_id and other texts apart."""
+    return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
 
 
 def windows(docs: DataFrame, p: Params) -> DataFrame:
-    """(hash, doc_id, row, pos): ``pos`` is the window's first line, ``row`` the identity of the document's row."""
-    own = docs.withColumn("lines", lines(F.col("text"), p)).where("size(lines) >= 3")
-    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(plain(x)).alias("h"), (F.size(F.split(F.trim(x), r"\s+"))).alias("n")))
-    own = own.select("doc_id", "row", hashed.alias("h"))
+    """(hash, doc_id, place): ``place`` packs the row's tag, whether its document has the window before, and the first line.
+
+    Lines are compared without case and the white space around them.
+    """
+    own = docs.select("doc_id", tag(F.col("text")).alias("tag"), lines(F.lower("text"), p).alias("lines"))
+    own = own.select("doc_id", "tag", F.transform("lines", lambda x: F.struct(F.xxhash64(F.trim(F.rtrim(F.translate(x, "\t\n\r", "   ")))).alias("h"), F.length(x).alias("n"))).alias("h"))
     each = F.transform(
         F.sequence(F.lit(1), F.size("h") - 2),
-        lambda i: F.struct(
-            (i - 1).alias("pos"),
-            F.xxhash64(F.col("h")[i - 1]["h"], F.col("h")[i]["h"], F.col("h")[i + 1]["h"]).alias("hash"),
-            (F.col("h")[i - 1]["n"] + F.col("h")[i]["n"] + F.col("h")[i + 1]["n"]).alias("n"),
-        ),
+        lambda i: F.when(F.col("h")[i - 1]["n"] + F.col("h")[i]["n"] + F.col("h")[i + 1]["n"] >= p.least, F.xxhash64(F.col("h")[i - 1]["h"], F.col("h")[i]["h"], F.col("h")[i + 1]["h"])),
     )
-    return own.select("doc_id", "row", F.explode(each).alias("w")).where(F.col("w.n") >= p.least).select("w.hash", "doc_id", "row", "w.pos")
+    own = own.select("doc_id", "tag", F.when(F.size("h") >= 3, each).alias("w"))
+    # the outer form keeps Catalyst from computing the lines a second time in a filter
+    rows = own.select("doc_id", "tag", "w", F.posexplode_outer("w").alias("pos", "hash")).where("hash is not null")
+    again = F.array_position("w", F.col("hash")) <= F.col("pos")
+    return rows.select("hash", "doc_id", (F.shiftleft("tag", 32).bitwiseOR(F.when(again, F.lit(1 << 31)).otherwise(F.lit(0))).bitwiseOR(F.col("pos").cast("long"))).alias("place"))
 
 
 def covered(found: DataFrame) -> DataFrame:
-    """(row, gone): for each row the lines that later occurrences of windows cover."""
-    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(first.select("hash", "first"), "hash").where("struct(doc_id, row, pos) <> first")
-    gone = later.select("row", F.explode(F.sequence("pos", F.col("pos") + 2)).alias("line")).distinct()
-    return gone.groupBy("row").agg(F.collect_list("line").alias("gone"))
+    """(doc_id, tag, gone): for each row the lines that later occurrences of windows cover."""
+    first = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
+    later = found.join(first, "hash").where("doc_id > first").select("doc_id", "place")
+    again = found.where(F.col("place").bitwiseAND(1 << 31) != 0).select("doc_id", "place")
+    hit = later.unionByName(again).select("doc_id", F.shiftrightunsigned("place", 32).alias("tag"), F.col("place").bitwiseAND((1 << 31) - 1).cast("int").alias("pos"))
+    return hit.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("starts")).select("doc_id", "tag", F.array_distinct(F.flatten(F.transform("starts", lambda x: F.array(x, x + 1, x + 2)))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows and columns of ``docs`` with repeated windows taken out of ``text``, and ``lines_removed``.
 
-    Rows are told apart by doc_id and a hash of the text: of rows equal in both, copies of a row, the first window is in
-    each of them, so they keep the same text. Null ids sort first. Null, empty and shorter texts stay as they are.
+    The first occurrence is that of the smallest doc_id (null first), then the first line. Rows that share a doc_id are
+    one place: they are not held against each other. Null, empty and shorter texts stay as they are, and so does every
+    text without a later occurrence. A column ``lines_removed`` of ``docs`` is replaced.
     """
-    row = F.xxhash64(F.col("doc_id"), F.col("text"))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
-    found = materialise(windows(picked, p), "windows")
-    gone = covered(found)
-    out = docs.withColumn("_row", row).join(gone.select(F.col("row").alias("_row"), F.col("gone").alias("_gone")), "_row", "left")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    picked = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = covered(materialise(windows(picked, p), "windows")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone"))
+    out = docs.withColumns({"_id": key, "_tag": tag(F.col("text").cast("string"))}).join(gone, ["_id", "_tag"], "left")
     kept = F.array_join(F.filter(F.transform(lines(F.col("text"), p), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "")
-    return out.select(*[(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c)) for c in docs.columns if c != "lines_removed"], F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("lines_removed"))
+    columns = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "lines_removed"]
+    return out.select(*columns, F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("lines_removed"))
