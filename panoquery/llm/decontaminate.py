@@ -79,7 +79,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     canon = texts.select("doc_id", canonical(F.col("text")).alias("canon"))
     hits = None
     for width in widths:
-        rows = canon.where(F.size("canon") >= width).select("doc_id", F.posexplode(window_hashes(F.col("canon"), width)).alias("pos", "hash"))
+        # the outer form and a condition inside the generator keep Catalyst from computing the tokens a second time in a filter
+        each = F.when(F.size("canon") >= width, window_hashes(F.col("canon"), width))
+        rows = canon.select("doc_id", F.posexplode_outer(each).alias("pos", "hash"))
         part = rows.join(keys, "hash").select("doc_id", "pos", "item_id", "ipos", "plain")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
