@@ -43,7 +43,7 @@ def located(text: Column, pattern: str, kind: str, place: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     none = F.array().cast("array<struct<start:int,place:int,finish:int,kind:string,value:string>>")
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))  # one gap more than matches
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
@@ -126,9 +126,9 @@ def find(docs: DataFrame, p: Params = Params()) -> DataFrame:
     same text get the same spans.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    spans = picked.withColumn("spans", base_spans(F.col("text")))
-    held = materialise(spans.select("doc_id", "row", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "spans")
-    some = held.where("text is not null").dropDuplicates(["row"])
+    held = materialise(picked.select("doc_id", "row", base_spans(F.col("text")).alias("spans")), "spans")
+    some = held.where("size(spans) > 0").groupBy("row").agg(F.first("spans").alias("spans"))
+    some = semi(picked.select("row", "text"), some.select("row"), "row").groupBy("row").agg(F.first("text").alias("text")).join(some, "row")
     seen = materialise(contexts(some, p), "contexts")
     risky = materialise(disclosing(picked, seen, p), "disclosing")
     term = F.struct("start", F.lit(len(KINDS)).alias("place"), "finish", F.lit("term").alias("kind"), "value")
