@@ -106,7 +106,9 @@ def contexts(found: DataFrame, p: Params) -> DataFrame:
 def disclosing(docs: DataFrame, seen: DataFrame, p: Params) -> DataFrame:
     """(entity, term, share, bits): terms that reveal an entity beyond the thresholds; documents count once per distinct text."""
     both = seen.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= p.support)
-    both = materialise(both, "cooccurrence")
+    # a term is in no fewer texts than it is near entities in, so terms that are common there can't reach the share
+    near = seen.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("near"))
+    both = materialise(both.join(near, "term").where(F.col("both") / F.col("near") >= p.share).drop("near"), "cooccurrence")
     terms = both.select("term").distinct()
     if terms.isEmpty():
         return both.select("entity", "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
