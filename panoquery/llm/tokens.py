@@ -11,7 +11,7 @@ import pyarrow as pa
 
 END = 0
 ID_TYPE = np.dtype("<u4")
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 # Byte-level BPE splits a text into contractions, runs of letters, of digits and of other signs (each with a space before),
 # and spaces. For texts of these characters the classes are plain ranges; other texts are encoded whole, so that libraries
 # can't differ in character classes.
@@ -39,9 +39,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: set[str], needed: list[str]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
+            pieces = set(needed)
         new = list(pieces)
         e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
         ends = np.searchsorted(np.array(e.word_ids), np.arange(len(new)), "right").tolist()
@@ -59,11 +60,10 @@ class Encoder:
                 cuts.append(len(flat))
             else:
                 cuts.append(None)
-        got = list(map(self.known.get, flat))
-        missing = {x for x, g in zip(flat, got, strict=True) if g is None}
+        missing = set(flat).difference(self.known)
         if missing:
-            self.learn(missing)
-            got = [self.known[x] if g is None else g for x, g in zip(flat, got, strict=True)]
+            self.learn(missing, flat)
+        got = list(map(self.known.__getitem__, flat))
         out, at = [], 0
         for text, cut in zip(texts, cuts, strict=True):
             if cut is None:
