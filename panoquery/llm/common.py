@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +46,20 @@ def without(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> D
     return df.join(F.broadcast(ids) if small(ids, most) else ids, key, "left_anti")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches hold at most ``most`` bytes, so that workers need little memory whatever the texts' length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > most:
+        spark.conf.set(key, str(most))
+
+
+def trim() -> None:
+    """Give memory that numpy and Arrow have freed back to the system: workers are used again and again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text column; null counts as empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")

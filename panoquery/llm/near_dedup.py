@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panoquery.llm.common import buffers, components, materialise, mix, semi, slices
+from panoquery.llm.common import buffers, components, materialise, mix, semi, slices, small_batches, trim
 
 HASH_BYTES = 6
 SKETCHES = "doc_id long, n long, k1 long, k2 long, sketch binary, hashes binary"
@@ -144,6 +144,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                     small.append(packed(values[: p.k]))
                     full.append(packed(values))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(small, pa.binary()), pa.array(full, pa.binary())], ["doc_id", "n", "k1", "k2", "sketch", "hashes"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, SKETCHES)
 
@@ -169,6 +170,7 @@ def inverted(classes: DataFrame, p: Params) -> DataFrame:
                         after.append(np.append(v[r:], np.uint64(0)))
                         reps.append(np.full(m, rep, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(after).view(np.int64)), pa.array(np.concatenate(reps))], ["key", "nxt", "rep"])
+        trim()
 
     return classes.select("rep", "n", "sketch").mapInArrow(rows, "key long, nxt long, rep long")
 
@@ -232,15 +234,16 @@ def overlaps(members: DataFrame) -> tuple[DataFrame, DataFrame]:
             edge.append(edge_now)
             edge.append(carried)
             yield out(np.zeros((0, 2), np.int64), edge)
+        trim()
 
     names = ["key", "a", "b", "kind"]
 
     def out(found: np.ndarray, edge: list) -> pa.RecordBatch:
         n, m = len(found), len(edge)
-        return pa.RecordBatch.from_arrays([pa.array([None] * n + [e[0] for e in edge], pa.int64()), pa.array(np.append(found[:, 0], [e[1] for e in edge]).astype(np.int64)), pa.array(np.append(found[:, 1], [e[2] for e in edge]).astype(np.int64)), pa.array(["pair"] * n + ["edge"] * m)], names)
+        return pa.RecordBatch.from_arrays([pa.array([None] * n + [e[0] for e in edge], pa.int64()), pa.array(np.append(found[:, 0], [e[1] for e in edge]).astype(np.int64)), pa.array(np.append(found[:, 1], [e[2] for e in edge]).astype(np.int64)), pa.array(["pair"] * n + ["edge"] * m, pa.string())], names)
 
     def listed(key: np.ndarray, nxt: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(nxt), pa.array(rep), pa.array(["member"] * len(key))], names)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(nxt), pa.array(rep), pa.array(["member"] * len(key), pa.string())], names)
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.select("key", "nxt", "rep", "g").repartitionByRange(parts, "key", "nxt", "rep").sortWithinPartitions("key", "nxt", "rep")
@@ -261,6 +264,7 @@ def _estimate(p: Params):
                 union, times = np.unique(both, return_counts=True)
                 keep.append(float((times[: p.k] == 2).mean()) >= p.percent / 100 - p.margin if len(union) else False)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return rows
 
@@ -274,6 +278,7 @@ def _exact(p: Params):
                 inter = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * inter >= p.percent * (len(x) + len(y) - inter))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return rows
 
@@ -299,6 +304,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), rounds: int = 8) -> D
     A null or empty text, and one without words, has the empty set: n_shingles 0, linked with nothing. A null doc_id is
     linked with nothing and comes back with null component and kept true. Repeated rows come back as often as they come.
     """
+    small_batches(docs.sparkSession)
     sets = materialise(sketches(docs, p), "sketches")
     some = sets.where("n > 0 and doc_id is not null")
     classes = some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
