@@ -11,7 +11,7 @@ import pyarrow as pa
 
 END = 0
 ID_TYPE = np.dtype("<u4")
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 # Byte-level BPE splits a text into contractions, runs of letters, of digits and of other signs (each with a space before),
 # and spaces. For texts of these characters the classes are plain ranges; other texts are encoded whole, so that libraries
 # can't differ in character classes.
