@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panoquery.llm.common import buffers, slices
+from panoquery.llm.common import buffers, slices, small_batches
 
 BITS = 16
 UNKNOWN = "und"
@@ -166,6 +166,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     A null text and one without a letter are ``und`` with score 0 and not accepted; so is all without a model. Rows come
     back as they come, with repeated and null ids.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

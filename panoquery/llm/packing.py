@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panoquery.llm.common import small_batches
 from panoquery.llm.tokens import byte_bpe, encoded
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
@@ -74,6 +75,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, gr
     are packed as they come. Sequence ids are unique: the task's number and a running number.
     """
     tokenizer = tokenizer or byte_bpe()
+    small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
@@ -101,7 +103,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, gr
             doc_ids += some
             held += arrays
             tokens += sum(map(len, arrays))
-            if len(held) >= group or tokens >= 8 << 20:
+            if len(held) >= group or tokens >= 4 << 20:
                 yield from table()
                 doc_ids, held, tokens = [], [], 0
         yield from table()

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panoquery.llm.common import small
+from panoquery.llm.common import small, small_batches
 from panoquery.llm.range_coder import read_block, write_block
 from panoquery.llm.tokens import ID_TYPE, byte_bpe, encoded
 
@@ -29,6 +29,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, alphabet: in
     """
     tokenizer = tokenizer or byte_bpe()
     spark = docs.sparkSession
+    small_batches(spark)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0

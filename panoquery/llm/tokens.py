@@ -9,9 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from panoquery.llm.common import trim
+
 END = 0
 ID_TYPE = np.dtype("<u4")
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 # Byte-level BPE splits a text into contractions, runs of letters, of digits and of other signs (each with a space before),
 # and spaces. For texts of these characters the classes are plain ranges; other texts are encoded whole, so that libraries
 # can't differ in character classes.
@@ -84,3 +86,4 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 256) -> It
         for i in range(0, batch.num_rows, rows):
             part = batch.slice(i, rows)
             yield part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())
+    trim()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panoquery.llm.common import materialise
+from panoquery.llm.common import materialise, small_batches, trim
 
 # Common insults of a few languages, second-person words, and signs that stand for letters.
 INSULTS = frozenset("idiot moron scum loser trash worthless disgusting stupid pathetic clown dumb fool imbecile garbage vermin idiota estúpido imbécil basura dummkopf trottel abschaum crétin abruti ordure".split())
@@ -190,11 +190,13 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` and ``toxicity``, 0 to 1, from the whole text alone; null and empty texts get that of no features."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(column: pa.Array) -> pa.Array:
         m = held.value
         x = np.array([features(t, m.learned, m.near) for t in column.to_pylist()], float).reshape(-1, FEATURES)
+        trim()
         return pa.array(np.clip(np.interp(sigmoid(margin(m, x)), *m.knots), 0, 1))
 
     scored = F.arrow_udf(rows, "double")
