@@ -4,7 +4,7 @@ A document's set of word shingles is hashed once; the ``k`` smallest values are
 MinHash literature). Retained values go into inverted lists, keyed by short runs of values that follow each other in the
 sketch. Lists generate overlaps in linear number: every member meets the smallest member of its list and its neighbours
 in the order of the values that come next. Overlaps between members that are still in different components are made
-anew until no round links anything. The sketch of the union estimates the similarity of a pair; pairs that pass are
+anew, with more neighbours, until no round links anything. The sketch of the union estimates the similarity of a pair; pairs that pass are
 confirmed on their full sets.
 
 Runs: when ``k`` covers both sets, a pair at the threshold always shares a run of the lengths that both emit
@@ -70,7 +70,7 @@ def run_lengths(p: Params) -> list[tuple[int, ...]]:
     out = [(longest,)]
     for n in range(1, p.k + 1):
         top = 100 * n // p.percent
-        out.append(tuple(sorted({safe.get(u, longest) for u in range(n, top + 1) if u > n})) or ())
+        out.append(tuple(sorted({safe.get(u, longest) for u in range(n, top + 1) if needed(u, p.percent) < u})) or ())
     return out
 
 
@@ -175,12 +175,12 @@ def inverted(classes: DataFrame, p: Params) -> DataFrame:
     return classes.select("rep", "n", "sketch").mapInArrow(rows, "key long, nxt long, rep long")
 
 
-def overlaps(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b), a < b: pairs from inverted lists, at most three for each member; only between different groups ``g``.
+def overlaps(members: DataFrame, reach: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b: pairs from inverted lists, at most ``reach`` + 2 for each member; only between different groups ``g``.
     And (key, nxt, rep) of the lists that may have more than one member, for the next round.
 
     ``members`` (key, nxt, rep, g) is dealt out by ranges of (key, nxt), so that a list of any length spreads over tasks.
-    Within a task a member meets its neighbour, the smallest member that the task has of its list so far in the batch,
+    Within a task a member meets its next ``reach`` neighbours, the smallest member that the task has of its list so far in the batch,
     and the neighbour in another group. Lists that go on in the next task hand one member each to a second, small pass.
     """
 
@@ -204,16 +204,19 @@ def overlaps(members: DataFrame) -> tuple[DataFrame, DataFrame]:
             begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(begins, len(key)))
             order = np.repeat(begins, sizes)
-            best = np.repeat(np.minimum.reduceat(rep, begins), sizes)
             best_g = np.repeat(np.minimum.reduceat(g, begins), sizes)
-            same = key[1:] == key[:-1]
-            left, right, apart = [rep[:-1][same], best], [rep[1:][same], rep], [(g[1:] != g[:-1])[same], g != best_g]
+            left, right, apart = [rep], [rep], [g != best_g]
+            for w in range(1, min(reach, len(key) - 1) + 1):
+                same = key[w:] == key[:-w]
+                left.append(rep[:-w][same])
+                right.append(rep[w:][same])
+                apart.append((g[w:] != g[:-w])[same])
             # g is the smallest id of a group, so the list's smallest group is the group of a member; the member itself may be another
             where = np.flatnonzero(g == best_g)
             head = np.full(len(begins), -1)
             at = np.searchsorted(begins, where, "right") - 1
             head[at[::-1]] = where[::-1]
-            left[1] = rep[np.repeat(head, sizes)]
+            left[0] = rep[np.repeat(head, sizes)]
             changes = np.flatnonzero(np.append(False, g[1:] != g[:-1]))
             last = np.full(len(key), -1)
             last[changes] = changes - 1
@@ -317,7 +320,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), rounds: int = 8) -> D
         if found is not None:
             roots = found.select(F.col("a").alias("rep"), F.col("b").alias("root"))
             members = lists.join(roots, "rep", "left").select("key", "nxt", "rep", F.coalesce("root", "rep").alias("g"))
-        pairs, left = overlaps(members)
+        pairs, left = overlaps(members, 1 if not turn else 8)
         lists = left if not turn else lists
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
