@@ -68,11 +68,12 @@ def powers_of_two(pieces: list[tuple[int, int, int]], capacity: int) -> Iterator
         yield own
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, group: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, group: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048, known: int = 1_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, sequence_length, ids (little-endian uint32).
 
     Each id of each document (null text: empty; the end id counts) lies in exactly one piece. Null and repeated doc_ids
     are packed as they come. Sequence ids are unique: the task's number and a running number.
+    ``known`` bounds the table of encoded pieces that a worker keeps.
     """
     tokenizer = tokenizer or byte_bpe()
     small_batches(docs.sparkSession)
@@ -99,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, gr
             yield batch_of(columns)
 
         tokens = 0
-        for some, arrays in encoded(batches, tokenizer):
+        for some, arrays in encoded(batches, tokenizer, known):
             doc_ids += some
             held += arrays
             tokens += sum(map(len, arrays))

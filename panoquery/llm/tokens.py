@@ -13,7 +13,7 @@ from panoquery.llm.common import trim
 
 END = 0
 ID_TYPE = np.dtype("<u4")
-CACHE_WORDS = 400_000
+KNOWN = 400_000
 # Byte-level BPE splits a text into contractions, runs of letters, of digits and of other signs (each with a space before),
 # and spaces. For texts of these characters the classes are plain ranges; other texts are encoded whole, so that libraries
 # can't differ in character classes.
@@ -30,7 +30,7 @@ class Encoder:
     """Encodes texts by the tokenizer file at ``path``. Strings of special tokens inside a text are ordinary text.
 
     A byte-level BPE tokenizer splits a text into pieces by ``PIECES`` and encodes each by itself, so distinct pieces are
-    encoded once and kept in a table of at most about ``CACHE_WORDS`` pieces.
+    encoded once and kept in a table of at most about ``most`` pieces (200 bytes each).
     """
 
     def __init__(self, path: str):
@@ -40,9 +40,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.most = KNOWN
 
     def learn(self, pieces: set[str], needed: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.most:
             self.known.clear()
             pieces = set(needed)
         new = list(pieces)
@@ -79,9 +80,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}  # a worker that is used again keeps what it has learned
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 256) -> Iterator[tuple[list, list[np.ndarray]]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, known: int = KNOWN, rows: int = 256) -> Iterator[tuple[list, list[np.ndarray]]]:
     """doc_ids and id arrays of a few documents at a time, from batches with doc_id and text."""
     encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+    encoder.most = known
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             part = batch.slice(i, rows)
