@@ -20,17 +20,35 @@ KNOWN = 400_000
 PLAIN = re.compile("[\t-\r -~¡-ɏ]*")
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 PIECES = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+# The sign that stands for each byte inside a byte-level model: itself where it is printable, else the next one from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = dict(zip(_PRINTABLE, _PRINTABLE, strict=True)) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+
+
 def byte_bpe() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Pieces(dict):
+    """The ids of each piece as bytes, encoded by the tokenizer's model when first asked for. Holds at most ``most`` pieces."""
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenize, self.most = tokenizer.model.tokenize, most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        raw = self[piece] = np.array([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))], ID_TYPE).tobytes()
+        return raw
+
+
 class Encoder:
     """Encodes texts by the tokenizer file at ``path``. Strings of special tokens inside a text are ordinary text.
 
     A byte-level BPE tokenizer splits a text into pieces by ``PIECES`` and encodes each by itself, so distinct pieces are
-    encoded once and kept in a table of at most about ``most`` pieces (200 bytes each).
+    encoded once and kept in a table of at most ``KNOWN`` pieces (200 bytes each).
     """
 
     def __init__(self, path: str):
@@ -39,41 +57,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.most = KNOWN
-
-    def learn(self, pieces: set[str], needed: list[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-            pieces = set(needed)
-        new = list(pieces)
-        e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ends = np.searchsorted(np.array(e.word_ids), np.arange(len(new)), "right").tolist()
-        raw = np.array(e.ids, ID_TYPE).tobytes()
-        self.known.update(zip(new, (raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        self.tokenizer.model._resize_cache(0)  # the table below does its work
+        self.known = Pieces(self.tokenizer, KNOWN)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
-        end = np.array([END], ID_TYPE).tobytes()
-        flat: list[str] = []
-        cuts: list[int | None] = []
+        end, ids_of = np.array([END], ID_TYPE).tobytes(), self.known.__getitem__
+        out = []
         for text in texts:
             if not text or PLAIN.fullmatch(text):
-                flat += PIECES.findall(text or "")
-                cuts.append(len(flat))
+                out.append(np.frombuffer(b"".join(map(ids_of, PIECES.findall(text or ""))) + end, ID_TYPE))
             else:
-                cuts.append(None)
-        missing = set(flat).difference(self.known)
-        if missing:
-            self.learn(missing, flat)
-        got = list(map(self.known.__getitem__, flat))
-        out, at = [], 0
-        for text, cut in zip(texts, cuts, strict=True):
-            if cut is None:
                 out.append(np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], ID_TYPE))
-            else:
-                out.append(np.frombuffer(b"".join(got[at:cut]) + end, ID_TYPE))
-                at = cut
         return out
 
 
@@ -83,7 +78,7 @@ _ENCODERS: dict[str, Encoder] = {}  # a worker that is used again keeps what it
 def encoded(batches: Iterator[pa.RecordBatch], path: str, known: int = KNOWN, rows: int = 256) -> Iterator[tuple[list, list[np.ndarray]]]:
     """doc_ids and id arrays of a few documents at a time, from batches with doc_id and text."""
     encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
-    encoder.most = known
+    encoder.known.most = known
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             part = batch.slice(i, rows)
