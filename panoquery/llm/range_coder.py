@@ -23,6 +23,8 @@ U = np.uint64
 GATE_BITS, LITERAL_BITS, HASH_BITS = 16, 20, 20
 LOW32, FULL32 = U(0xFFFFFFFF), U(1 << 32)
 CONF = 4
+ID = np.uint32
+CONF_BITS = ID(2)
 
 
 class Model:
@@ -30,8 +32,7 @@ class Model:
 
     def __init__(self, alphabet: int, inverse: bool):
         self.alphabet, self.inverse = alphabet, inverse
-        self.sym1, self.conf1 = np.zeros(alphabet + 1, np.int32), np.zeros(alphabet + 1, np.uint8)
-        self.sym2, self.conf2 = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.uint8)
+        self.table1, self.table2 = np.zeros(alphabet + 1, ID), np.zeros(1 << HASH_BITS, ID)  # id * CONF + confidence
         self.gate = np.ones((2 * CONF * CONF, 3))
         self.gate[:, 2] = 4
         self.count = np.zeros(alphabet, np.int64)
@@ -52,7 +53,7 @@ class Model:
         ends = np.cumsum(freq)
         self.start = (ends - freq).astype(U)
         if self.inverse:
-            self.at = np.repeat(np.arange(self.alphabet, dtype=np.int32), freq)
+            self.at = np.repeat(np.arange(self.alphabet, dtype=ID), freq)
 
     def weigh(self) -> None:
         share = self.gate / self.gate.sum(1, keepdims=True)
@@ -61,31 +62,30 @@ class Model:
         self.gate_freq = freq.astype(U).ravel()
         self.gate_start = (np.cumsum(freq, 1) - freq).astype(U).ravel()
 
-    def predict(self, before2: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.slot = ((before2.astype(np.int64) * 40503 + before1) * 2654435761 >> 7) & ((1 << HASH_BITS) - 1)
-        self.prev = before1
-        self.p2, self.p1 = self.sym2[self.slot], self.sym1[before1]
-        self.c2, self.c1 = self.conf2[self.slot], self.conf1[before1]
-        self.context = (self.c2.astype(np.int64) * CONF + self.c1) * 2 + (self.p2 == self.p1)
-        return self.p2, self.p1, self.context
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        for sym, conf, place, was, c in ((self.sym2, self.conf2, self.slot, self.p2, self.c2), (self.sym1, self.conf1, self.prev, self.p1, self.c1)):
-            hit = was == ids
-            replace = ~hit & (c <= 1)
-            sym[place] = np.where(replace, ids, was)
-            conf[place] = np.where(hit, np.minimum(c + 1, CONF - 1), np.where(replace, 1, c - 1))
-        self.gate += np.bincount(self.context * 3 + kind, minlength=self.gate.size).reshape(self.gate.shape)
+    def predict(self, before2: np.ndarray, before1: np.ndarray) -> None:
+        """Sets the predictions p2 and p1, their confidences c2 and c1, and ``base``, the place of their gate."""
+        self.slot = ((before2 * ID(40503) + before1) * ID(2654435761) >> ID(32 - HASH_BITS)).astype(np.intp)
+        self.prev = before1.astype(np.intp)
+        self.v2, self.v1 = self.table2.take(self.slot), self.table1.take(self.prev)
+        self.p2, self.p1, self.c2, self.c1 = self.v2 >> CONF_BITS, self.v1 >> CONF_BITS, self.v2 & ID(CONF - 1), self.v1 & ID(CONF - 1)
+        self.base = (((self.c2 << CONF_BITS) + self.c1) * ID(6) + (self.p2 == self.p1) * ID(3)).astype(np.intp)
+
+    def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
+        """``at``: ``base`` plus the kind of each id."""
+        new = (ids << CONF_BITS) + ID(1)
+        for table, place, v, p, c in ((self.table2, self.slot, self.v2, self.p2, self.c2), (self.table1, self.prev, self.v1, self.p1, self.c1)):
+            table[place] = np.where(p == ids, v + (c < CONF - 1), np.where(c <= 1, new, v - ID(1)))
+        self.gate += np.bincount(at, minlength=self.gate.size).reshape(self.gate.shape)
         self.weigh()
         self.fresh.append(ids)
         self.waiting += len(ids)
         self.seen += len(ids)
-        if self.waiting >= min(1 << 18, max(2048, self.seen // 4)):
+        if self.waiting >= min(1 << 19, max(2048, self.seen // 2)):
             self.refresh()
 
 
 def lanes_of(n: int) -> int:
-    return int(min(8192, max(1, n // 512)))
+    return int(min(16384, max(1, n // 512)))
 
 
 def settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -102,13 +102,13 @@ def encode(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
     """(words of each lane, all words lane by lane) of one block of ids."""
     n, lanes = len(ids), lanes_of(len(ids))
     steps = -(-n // lanes)
-    table = np.zeros(steps * lanes, np.int32)
+    table = np.zeros(steps * lanes, ID)
     table[:n] = ids
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
     model = Model(alphabet, False)
     low, span = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
     words, used = np.zeros((2 * steps + 2, lanes), np.uint32), np.zeros(lanes, np.int64)
-    before2 = before1 = np.full(lanes, alphabet, np.int32)
+    before2 = before1 = np.full(lanes, alphabet, ID)
 
     def put(which, start, freq, bits):
         r = (span[which] if which is not None else span) >> U(bits)
@@ -132,15 +132,15 @@ def encode(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
             _flush(words, used, low, done)
             low, span, before2, before1, lanes = low[:active].copy(), span[:active].copy(), before2[:active], before1[:active], active
         x = table[t, :active]
-        p2, p1, context = model.predict(before2, before1)
-        kind = np.where((x == p2) & (model.c2 > 0), 0, np.where((x == p1) & (model.c1 > 0), 1, 2))
-        at = context * 3 + kind
-        put(None, model.gate_start[at], model.gate_freq[at], GATE_BITS)
+        model.predict(before2, before1)
+        kind = np.where((x == model.p2) & (model.c2 > 0), 0, np.where((x == model.p1) & (model.c1 > 0), 1, 2))
+        at = model.base + kind
+        put(None, model.gate_start.take(at), model.gate_freq.take(at), GATE_BITS)
         literal = np.flatnonzero(kind == 2)
         if len(literal):
             y = x[literal]
             put(literal, model.start[y], model.freq[y], LITERAL_BITS)
-        model.learn(x, kind)
+        model.learn(x, at)
         before2, before1 = before1, x
     _flush(words, used, low, slice(0, lanes))
     return used.astype(np.uint32), words.T[np.arange(len(words))[None, :] < used[:, None]]
@@ -156,7 +156,7 @@ def _flush(words: np.ndarray, used: np.ndarray, low: np.ndarray, which: slice) -
 def decode(n: int, lanes: int, used: np.ndarray, words: np.ndarray, alphabet: int) -> np.ndarray:
     """The ids of one block."""
     steps = -(-n // lanes)
-    table = np.zeros((steps, lanes), np.int32)
+    table = np.zeros((steps, lanes), ID)
     model = Model(alphabet, True)
     ends = np.cumsum(used.astype(np.int64))
     at = ends - used
@@ -164,7 +164,7 @@ def decode(n: int, lanes: int, used: np.ndarray, words: np.ndarray, alphabet: in
     low, span = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
     code = words[at] << U(32) | words[at + 1]
     at = at + 2
-    before2 = before1 = np.full(lanes, alphabet, np.int32)
+    before2 = before1 = np.full(lanes, alphabet, ID)
 
     def take(which, r, start, freq):
         if which is None:
@@ -184,20 +184,20 @@ def decode(n: int, lanes: int, used: np.ndarray, words: np.ndarray, alphabet: in
         active = -(-(n - t) // steps)
         if active < lanes:
             low, span, code, at, before2, before1, lanes = low[:active].copy(), span[:active].copy(), code[:active].copy(), at[:active].copy(), before2[:active], before1[:active], active
-        p2, p1, context = model.predict(before2, before1)
+        model.predict(before2, before1)
         r = span >> U(GATE_BITS)
         value = np.minimum((code - low) // r, U((1 << GATE_BITS) - 1))
-        base = context * 3
-        kind = (value >= model.gate_start[base + 1]).astype(np.int64) + (value >= model.gate_start[base + 2])
-        take(None, r, model.gate_start[base + kind], model.gate_freq[base + kind])
-        x = np.where(kind == 0, p2, p1)
+        kind = (value >= model.gate_start.take(model.base + 1)).astype(np.intp) + (value >= model.gate_start.take(model.base + 2))
+        gate = model.base + kind
+        take(None, r, model.gate_start.take(gate), model.gate_freq.take(gate))
+        x = np.where(kind == 0, model.p2, model.p1)
         literal = np.flatnonzero(kind == 2)
         if len(literal):
             r = span[literal] >> U(LITERAL_BITS)
             y = model.at[np.minimum((code[literal] - low[literal]) // r, U((1 << LITERAL_BITS) - 1)).astype(np.int64)]
             x[literal] = y
             take(literal, r, model.start[y], model.freq[y])
-        model.learn(x, kind)
+        model.learn(x, gate)
         table[t, :active] = x
         before2, before1 = before1, x
     return table.T.reshape(-1)[:n]

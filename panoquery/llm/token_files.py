@@ -22,7 +22,7 @@ from panoquery.llm.tokens import ID_TYPE, byte_bpe, encoded
 BLOCKS = "part long, seq long, n_docs long, n_tokens long, block binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, alphabet: int = 50257, block_tokens: int = 4_000_000) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, alphabet: int = 50257, block_tokens: int = 8_000_000) -> None:
     """Encode ``docs`` (doc_id, text; null: empty) and write their blocks to ``path``.
 
     Order: doc_id ascending, null ids first, equal ids by text. An empty table gives an empty container.
