@@ -7,7 +7,7 @@ lost executors leave no half-written files, and every block carries its own chec
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +56,12 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, alphabet: in
     dealt.mapInArrow(rows, BLOCKS).write.parquet(path)
 
 
-def read(spark, path: str) -> DataFrame:
-    """(doc_id, start, ids): every document of the container at ``path``; ``ids`` are little-endian unsigned 32-bit ids."""
+def read(spark, path: str, of: Callable[[memoryview], object] = bytes, kind: str = "binary") -> DataFrame:
+    """(doc_id, start, n_tokens, ids): every document of the container at ``path``.
+
+    ``ids`` is what ``of`` makes of a document's little-endian unsigned 32-bit ids, of SQL type ``kind``: those bytes
+    themselves, or a digest of them, so that whole documents need not leave the worker.
+    """
     table = spark.read.schema(BLOCKS).parquet(path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +74,7 @@ def read(spark, path: str) -> DataFrame:
                 own = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 for k in range(0, len(own), 2000):
                     m = len(own[k : k + 2000])
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * m), pa.array([seq] * m), pa.array(doc_ids[k : k + m], pa.int64()), pa.array((ends - lengths)[k : k + m]), pa.array([bytes(x) for x in own[k : k + m]], pa.binary())], ["part", "seq", "doc_id", "inside", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * m), pa.array([seq] * m), pa.array(doc_ids[k : k + m], pa.int64()), pa.array((ends - lengths)[k : k + m]), pa.array(lengths[k : k + m]), pa.array([of(x) for x in own[k : k + m]])], ["part", "seq", "doc_id", "inside", "n_tokens", "ids"])
 
     meta = table.select("part", "seq", "n_tokens")
     totals = meta.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -78,4 +82,4 @@ def read(spark, path: str) -> DataFrame:
     before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     starts = meta.withColumn("before", before).join(totals.select("part", "base"), "part").select("part", "seq", (F.col("base") + F.col("before")).alias("first"))
     starts = F.broadcast(starts) if small(meta, 200_000) else starts
-    return table.mapInArrow(rows, "part long, seq long, doc_id long, inside long, ids binary").join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "ids")
+    return table.mapInArrow(rows, f"part long, seq long, doc_id long, inside long, n_tokens long, ids {kind}").join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids")
