@@ -106,7 +106,13 @@ def test_encoder():
 
     t = Tokenizer.from_file(byte_bpe())
     cases = ["", "a  b\n\n c's  ", "日本 語", "a\x85b\xa0c", " ", "\n\n\n \n", "I'll they've 's 3²4 ½ ×÷ ǀ ª\t\tx", "x" * 5000, LONG]
-    assert [x.tolist() for x in Encoder(byte_bpe()).encode(cases)] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in cases]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in cases]
+    for most in (400_000, 3):
+        encoder = Encoder(byte_bpe())
+        encoder.known.most = most
+        assert [x.tolist() for x in encoder.encode(cases)] == want and len(encoder.known) <= most
+    every = [f"a{chr(c)} {chr(c)}{chr(c)}1" for c in range(0x250)]  # each sign that the fast way takes, and controls that it doesn't
+    assert [x.tolist() for x in Encoder(byte_bpe()).encode(every)] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in every]
 
 
 def test_token_files(spark, sf, odd, none, tmp_path):
