@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"PQTB"
+MAGIC, VERSION = b"PQTB", 2
 HEADER = struct.Struct("<4sHIQIIII")  # magic, version, documents, ids, lanes, alphabet, crc of ids, bytes of the index
 U = np.uint64
 GATE_BITS, LITERAL_BITS, HASH_BITS = 16, 20, 20
@@ -208,7 +208,7 @@ def write_block(doc_ids: list, docs: list[np.ndarray], alphabet: int) -> bytes:
     ids = np.concatenate(docs).astype("<u4")
     used, words = encode(ids, alphabet)
     index = zlib.compress(np.array([x is not None for x in doc_ids], np.uint8).tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array([len(x) for x in docs], "<u4").tobytes() + used.astype("<u4").tobytes())
-    body = HEADER.pack(MAGIC, 1, len(docs), len(ids), len(used), alphabet, zlib.crc32(ids.tobytes()), len(index)) + index + words.astype("<u4").tobytes()
+    body = HEADER.pack(MAGIC, VERSION, len(docs), len(ids), len(used), alphabet, zlib.crc32(ids.tobytes()), len(index)) + index + words.astype("<u4").tobytes()
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -216,7 +216,9 @@ def read_block(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """(doc_ids, lengths, all ids) of a block; raises ValueError where a checksum fails."""
     if data[:4] != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise ValueError("the block is damaged")
-    _, _, n_docs, n, lanes, alphabet, crc, n_index = HEADER.unpack_from(data)
+    _, version, n_docs, n, lanes, alphabet, crc, n_index = HEADER.unpack_from(data)
+    if version != VERSION:
+        raise ValueError(f"the block has version {version}, not {VERSION}")
     index = zlib.decompress(data[HEADER.size : HEADER.size + n_index])
     known = np.frombuffer(index, np.uint8, n_docs)
     doc_ids = [x if ok else None for x, ok in zip(np.frombuffer(index, "<i8", n_docs, n_docs).tolist(), known, strict=True)]
