@@ -3,9 +3,10 @@
 A document's set of word shingles is hashed once; the ``k`` smallest values are its sketch (bottom-k, from the public
 MinHash literature). Retained values go into inverted lists, keyed by short runs of values that follow each other in the
 sketch. Lists generate overlaps in linear number: every member meets the smallest member of its list and its neighbours
-in the order of the values that come next. Overlaps between members that are still in different components are made
-anew, with more neighbours, until no round links anything. The sketch of the union estimates the similarity of a pair; pairs that pass are
-confirmed on their full sets.
+in the order of the values that come next; these rounds only make components large early. The sketch of the union
+estimates the similarity of a pair; pairs that pass are confirmed on their full sets. At the end all members of a list that
+are still in different components are compared (``remaining``): few as pairs, many in blocks, on their full sets. Two members
+that also share the value before the run share the list of the run before, and are left to that one.
 
 Runs: when ``k`` covers both sets, a pair at the threshold always shares a run of the lengths that both emit
 (pigeonhole). For larger sets ``run_length`` takes the longest run that such a pair misses with a chance of at most 1e-7.
@@ -149,13 +150,16 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, SKETCHES)
 
 
-def inverted(classes: DataFrame, p: Params) -> DataFrame:
-    """(key, nxt, rep): one row per run of retained values; ``nxt`` is the value after the run."""
+def inverted(classes: DataFrame, p: Params, before: bool = False) -> DataFrame:
+    """(key, nxt, rep): one row per run of retained values; ``nxt`` is the value after the run.
+
+    With ``before``: (key, prev, first, rep, n), where ``prev`` is the value before the run and ``first`` says that there is none.
+    """
     lengths = run_lengths(p)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, after, reps = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            keys, after, reps, prev, first, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
             with np.errstate(over="ignore"):
                 for rep, n, data in zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
                     v = unpacked(data)
@@ -169,10 +173,17 @@ def inverted(classes: DataFrame, p: Params) -> DataFrame:
                         keys.append(total)
                         after.append(np.append(v[r:], np.uint64(0)))
                         reps.append(np.full(m, rep, np.int64))
+                        if before:
+                            prev.append(np.append(np.uint64(0), v[: m - 1]))
+                            first.append(np.arange(m) == 0)
+                            size.append(np.full(m, n, np.int64))
+            if before:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(prev).view(np.int64)), pa.array(np.concatenate(first)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(size))], ["key", "prev", "first", "rep", "n"])
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(after).view(np.int64)), pa.array(np.concatenate(reps))], ["key", "nxt", "rep"])
         trim()
 
-    return classes.select("rep", "n", "sketch").mapInArrow(rows, "key long, nxt long, rep long")
+    return classes.select("rep", "n", "sketch").mapInArrow(rows, "key long, prev long, first boolean, rep long, n long" if before else "key long, nxt long, rep long")
 
 
 def overlaps(members: DataFrame, reach: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -286,6 +297,130 @@ def _exact(p: Params):
     return rows
 
 
+BLOCK, SHINGLES, FEW = 1024, 4_000_000, 32
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the rows of each key, sorted, in blocks of at most BLOCK rows and about SHINGLES shingles."""
+    from pyspark import TaskContext
+
+    block, now, rows, held = TaskContext.get().partitionId() << 32, None, 0, 0
+    for batch in batches:
+        out = []
+        for key, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            if key != now or rows == BLOCK or held + n > SHINGLES:
+                block, now, rows, held = block + 1, key, 0, 0
+            rows, held = rows + 1, held + n
+            out.append(block)
+        yield batch.append_column("block", pa.array(out, pa.int64()))
+
+
+def jobs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Table]:
+    """The rows in runs of equal ``columns``, whatever the batches."""
+    open_rows: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(i, j - i)
+            if open_rows and any(open_rows[0].column(c)[0].as_py() != part.column(c)[0].as_py() for c in columns):
+                yield pa.Table.from_batches(open_rows)
+                open_rows = []
+            open_rows.append(part)
+    if open_rows:
+        yield pa.Table.from_batches(open_rows)
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a block between different groups that share no list before."""
+    for t in jobs(batches, "key", "block"):
+        rep, g, prev, first = (t.column(c).to_numpy() for c in ("rep", "g", "prev", "first"))
+        i, j = np.triu_indices(len(rep), 1)
+        ok = (g[i] != g[j]) & ((prev[i] != prev[j]) | first[i] | first[j])
+        a, b = rep[i][ok], rep[j][ok]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _compared(p: Params):
+    """For each job, its two blocks' members compared on full sets: the links that join groups."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in jobs(batches, "key", "ba", "bb"):
+            rep, g, prev, first, block = (t.column(c).to_numpy() for c in ("rep", "g", "prev", "first", "block"))
+            sets = [unpacked(x) for x in t.column("hashes").to_pylist()]
+            n = np.array([len(x) for x in sets])
+            ia = np.flatnonzero(block == t.column("ba")[0].as_py())
+            ib = np.flatnonzero(block == t.column("bb")[0].as_py())
+            _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            where = np.cumsum(times > 1) - 1
+            row, col = np.repeat(np.arange(len(sets)), n)[times[col] > 1], where[col[times[col] > 1]]
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            inter = np.zeros((len(ia), len(ib)), np.float32)
+            for low in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+                i, j = np.searchsorted(col, (low, low + 4096))
+                has = np.zeros((len(sets), 4096), np.float32)
+                has[row[i:j], col[i:j] - low] = 1
+                inter += has[ia] @ has[ib].T
+            inter = inter.astype(np.int64)
+            ok = 100 * inter >= p.percent * (n[ia][:, None] + n[ib][None] - inter)
+            ok &= g[ia][:, None] != g[ib][None]
+            ok &= (prev[ia][:, None] != prev[ib][None]) | first[ia][:, None] | first[ib][None]
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            a, b = [], []
+            for x, y in zip(*np.nonzero(ok), strict=True):
+                u, v = root(int(g[ia[x]])), root(int(g[ib[y]]))
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    a.append(min(rep[ia[x]], rep[ib[y]]))
+                    b.append(max(rep[ia[x]], rep[ib[y]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        trim()
+
+    return rows
+
+
+def remaining(lists: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, tried: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between members of one list that are in different components: all that the rounds left."""
+    roots = found.select(F.col("a").alias("rep"), F.col("b").alias("root"))
+    grouped = lists.join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("g"))
+    open_keys = materialise(grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key"), "open")
+    reps = semi(lists, open_keys, "key").select("rep").distinct()
+    again = semi(inverted(semi(classes, materialise(reps, "reps"), "rep"), p, before=True), open_keys, "key")
+    rows = again.join(roots, "rep", "left").select("key", "prev", "first", "rep", "n", F.coalesce("root", "rep").alias("g"))
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, "key", "prev", "rep").sortWithinPartitions("key", "prev", "rep")
+    members = materialise(dealt.mapInArrow(_blocks, "key long, prev long, first boolean, rep long, n long, g long, block long"), "blocks")
+    # min and max say whether one value before the run, or one group, holds for a whole block
+    about = [f(c).alias(c + k) for c in ("prev", "g") for k, f in (("0", F.min), ("1", F.max))]
+    blocks = materialise(members.groupBy("key", "block").agg(F.count("*").alias("size"), F.max("first").alias("first"), *about), "sizes")
+    few = members.join(blocks.where(F.col("size").between(2, FEW)).select("key", "block"), ["key", "block"], "left_semi")
+    few = few.repartition(parts, "key", "block").sortWithinPartitions("key", "block").mapInArrow(_few, "a long, b long").distinct()
+    few = confirmed(materialise(few.join(tried, ["a", "b"], "left_anti"), "few"), sets, p)
+    x, y = blocks.alias("x"), blocks.alias("y")
+    one = lambda c: (F.col(f"x.{c}0") == F.col(f"x.{c}1")) & (F.col(f"y.{c}0") == F.col(f"y.{c}1")) & (F.col(f"x.{c}0") == F.col(f"y.{c}0"))
+    work = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")))
+    work = work.where((F.col("x.block") < F.col("y.block")) | (F.col("x.size") > FEW)).where(~one("g") & (~one("prev") | F.col("x.first") | F.col("y.first")))
+    work = materialise(work.select(F.col("x.key").alias("key"), F.col("x.block").alias("ba"), F.col("y.block").alias("bb")), "jobs")
+    if work.isEmpty():
+        return few
+    sides = work.withColumn("block", F.explode(F.array_distinct(F.array("ba", "bb"))))
+    sent = sides.join(members.drop("n"), ["key", "block"]).join(sets.select(F.col("doc_id").alias("rep"), "hashes"), "rep")
+    sent = sent.repartition(parts, "key", "ba", "bb").sortWithinPartitions("key", "ba", "bb")
+    return few.unionByName(materialise(sent.mapInArrow(_compared(p), "a long, b long").distinct(), "compared"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """Those of ``pairs`` (a, b) whose documents are similar enough: sizes, then union sketches, then full sets."""
 
@@ -303,6 +438,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
 def near_duplicates(docs: DataFrame, p: Params = Params(), rounds: int = 8) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id, component_id, kept.
 
+    At most ``rounds`` cheap rounds link what they can; the comparison of what remains completes them.
     ``class_id`` is the smallest document with the same shingle set; classes are linked, copies are not expanded.
     A null or empty text, and one without words, has the empty set: n_shingles 0, linked with nothing. A null doc_id is
     linked with nothing and comes back with null component and kept true. Repeated rows come back as often as they come.
@@ -320,7 +456,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), rounds: int = 8) -> D
         if found is not None:
             roots = found.select(F.col("a").alias("rep"), F.col("b").alias("root"))
             members = lists.join(roots, "rep", "left").select("key", "nxt", "rep", F.coalesce("root", "rep").alias("g"))
-        pairs, left = overlaps(members, 1 if not turn else 8)
+        pairs, left = overlaps(members)
         lists = left if not turn else lists
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -331,6 +467,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), rounds: int = 8) -> D
             break
         links = new if links is None else links.unionByName(new)
         found = components(links)
+    rest = remaining(lists, classes, own, found, tried, p)
+    if not rest.isEmpty():
+        found = components(links.unionByName(rest))
     out = sets.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2", "n"], "left")
     out = out.withColumn("class_id", F.coalesce("class_id", "doc_id")).join(found.select(F.col("a").alias("class_id"), F.col("b").alias("root")), "class_id", "left")
     out = out.withColumn("component_id", F.coalesce("root", "class_id"))

@@ -71,6 +71,23 @@ def test_near_duplicates(spark, sf, words, percent):
     assert {i: (len(s[i]), want[i], want[i] == i) for i in ids} == {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()}
 
 
+@pytest.mark.parametrize("words, percent, changes", [(3, 85, 5), (5, 80, 4)])
+def test_near_duplicates_star(spark, words, percent, changes):
+    rng = np.random.default_rng(4)
+    hub = [f"h{k}" for k in range(200)]
+    docs = {1000: " ".join(hub)}
+    for k in range(400):  # each similar enough to the hub only
+        own = list(hub)
+        for at in rng.choice(200, changes, replace=False):
+            own[at] = f"c{k}x{at}"
+        docs[k if k < 200 else 1000 + k] = " ".join(own)
+    s = sets(docs, words)
+    ids = sorted(s)
+    linked = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), near_dedup.Params(words, percent))
+    assert {r.doc_id: r.component_id for r in got.collect()} == groups(linked, ids) and len(linked) >= 300
+
+
 def test_near_duplicates_odd(odd, none):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd, near_dedup.Params(3, 85)).collect())
     assert len(got) == len(ODD) and got.count((6, 9, 5, False)) == 2 and (1, 0, 1, True) in got and (0, 2, None, True) in got
