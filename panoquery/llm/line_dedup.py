@@ -4,7 +4,12 @@ A line ends at a newline, at the end of a sentence, or after ``Params.words`` wo
 too, and sentences are where they can be taken out cleanly. Every three lines that follow each other are a window; its
 hash is looked for in all documents. The first window (smallest doc_id, then position) stays; lines that any later one
 covers go, and what stays is joined again as it was. Windows of fewer than ``Params.least`` characters are left
-alone.
+alone there.
+
+Lines are cut by a running count, so a second pass looks, in what the first has left, for passages of LONG = 50 words of an
+earlier document wherever they begin and however short their lines. Of every PICK words in a row the one with the smallest
+hash is picked (winnowing); equal passages share a picked word whatever stands before them, and so the hash of the RUN
+words from it. Where such hashes meet, all runs of LONG words around them are compared.
 """
 
 from __future__ import annotations
@@ -14,7 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panoquery.llm.common import materialise
+from panoquery.llm.common import materialise, small
+
+
+LONG, PICK = 50, 24
+RUN = LONG - PICK + 1
 
 
 @dataclass(frozen=True)
@@ -51,13 +60,80 @@ def windows(docs: DataFrame, p: Params) -> DataFrame:
     return rows.select("hash", "doc_id", (F.shiftleft("tag", 32).bitwiseOR(F.when(again, F.lit(1 << 31)).otherwise(F.lit(0))).bitwiseOR(F.col("pos").cast("long"))).alias("place"))
 
 
-def covered(found: DataFrame) -> DataFrame:
-    """(doc_id, tag, gone): for each row the lines that later occurrences of windows cover."""
+def said(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text)"""
+    return docs.select("doc_id", tag(F.col("text")).alias("tag"), "text")
+
+
+def word_hashes(own: DataFrame) -> DataFrame:
+    """``own`` with the hashes ``h`` of the words in place of the text; null for texts of fewer than LONG."""
+    own = own.withColumn("h", F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"\S++"), F.lit(0)), lambda x: F.xxhash64(x))).drop("text")
+    return own.withColumn("h", F.when(F.size("h") >= LONG, F.col("h")))
+
+
+def exploded(own: DataFrame, width: int) -> DataFrame:
+    """(hash, doc_id, place) as of ``windows``, for the ``width`` words from each place in ``at``."""
+    rows = own.withColumn("w", F.transform("at", lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, width)).alias("hash"), i.alias("pos"))))
+    rows = rows.select("doc_id", "tag", F.explode_outer("w").alias("w")).where("w is not null")
+    return rows.select("w.hash", "doc_id", F.shiftleft("tag", 32).bitwiseOR(F.col("w.pos").cast("long")).alias("place"))
+
+
+def picked_runs(docs: DataFrame) -> DataFrame:
+    """(hash, doc_id, place): the RUN words from each picked word."""
+    # the place in the low 24 bits: of equal words the first is picked
+    own = word_hashes(said(docs)).withColumn("m", F.transform("h", lambda x, i: x.bitwiseAND(-(1 << 24)).bitwiseOR(i.cast("long"))))
+    for step in (1, 2, 4, 8, 8):  # smallest of 2, 4, 8, 16 and PICK in a row
+        n = F.size("m") - step
+        own = own.withColumn("m", F.zip_with(F.slice("m", F.lit(1), n), F.slice("m", F.lit(step + 1), n), lambda x, y: F.least(x, y)))
+    at = F.transform(F.array_distinct("m"), lambda x: x.bitwiseAND((1 << 24) - 1).cast("int"))
+    return exploded(own.withColumn("at", F.filter(at, lambda i: i <= F.size("h") - RUN)), RUN)
+
+
+def long_runs(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(hash, doc_id, place): the LONG words from each place around the hashes that meet."""
+    own = word_hashes(said(docs).join(sent(met), ["doc_id", "tag"]))
+    around = F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(F.greatest(x - PICK + 1, F.lit(0)), x))))
+    return exploded(own.withColumn("at", F.filter(around, lambda i: i <= F.size("h") - LONG)), LONG)
+
+
+def sent(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """``rows`` for a join with the texts: broadcast up to ``most``, shuffled beyond."""
+    return F.broadcast(rows) if small(rows, most) else rows
+
+
+def meeting(found: DataFrame) -> DataFrame:
+    """(doc_id, tag, starts): where hashes start that more than one document has."""
+    shared = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash")
+    return starts(found.join(shared, "hash").select("doc_id", "place"))
+
+
+def starts(hit: DataFrame) -> DataFrame:
+    hit = hit.select("doc_id", F.shiftrightunsigned("place", 32).alias("tag"), F.col("place").bitwiseAND((1 << 31) - 1).cast("int").alias("pos"))
+    return hit.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("starts"))
+
+
+def without_runs(words: Column, found: Column) -> Column:
+    """The text of ``words`` (a column of its own, else made anew in each step) without the LONG words from each of ``found``, and how many words went."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("gone"))
+
+    def step(acc: Column, x: Column) -> Column:
+        out = F.concat(acc["out"], F.array_join(F.slice(words, acc["at"] + 1, F.greatest(x - acc["at"], F.lit(0))), ""))
+        return F.struct((x + LONG).alias("at"), out.alias("out"), (acc["gone"] + x + LONG - F.greatest(x, acc["at"])).alias("gone"))
+
+    return F.aggregate(F.array_sort(found), first, step, lambda acc: F.struct(F.concat(acc["out"], F.array_join(F.slice(words, acc["at"] + 1, F.greatest(F.size(words) - acc["at"], F.lit(0))), "")).alias("text"), acc["gone"].alias("gone")))
+
+
+def hits(found: DataFrame) -> DataFrame:
+    """(doc_id, tag, starts): for each row where its later occurrences of windows start."""
     first = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
     later = found.join(first, "hash").where("doc_id > first").select("doc_id", "place")
     again = found.where(F.col("place").bitwiseAND(1 << 31) != 0).select("doc_id", "place")
-    hit = later.unionByName(again).select("doc_id", F.shiftrightunsigned("place", 32).alias("tag"), F.col("place").bitwiseAND((1 << 31) - 1).cast("int").alias("pos"))
-    return hit.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("starts")).select("doc_id", "tag", F.array_distinct(F.flatten(F.transform("starts", lambda x: F.array(x, x + 1, x + 2)))).alias("gone"))
+    return starts(later.unionByName(again))
+
+
+def covered(found: DataFrame) -> DataFrame:
+    """(doc_id, tag, gone): for each row the lines that later occurrences of windows cover."""
+    return hits(found).select("doc_id", "tag", F.array_distinct(F.flatten(F.transform("starts", lambda x: F.array(x, x + 1, x + 2)))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -65,12 +141,22 @@ def dedup_lines(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     The first occurrence is that of the smallest doc_id (null first), then the first line. Rows that share a doc_id are
     one place: they are not held against each other. Null, empty and shorter texts stay as they are, and so does every
-    text without a later occurrence. A column ``lines_removed`` of ``docs`` is replaced.
+    text without a later occurrence. Of words that the second pass takes out, twelve count as a line, as does a rest of fewer. A column ``lines_removed`` of ``docs`` is replaced.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     picked = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = covered(materialise(windows(picked, p), "windows")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone"))
-    out = docs.withColumns({"_id": key, "_tag": tag(F.col("text").cast("string"))}).join(gone, ["_id", "_tag"], "left")
+    gone = materialise(covered(materialise(windows(picked, p), "windows")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone")), "gone")
+    first = docs.withColumns({"_id": key, "_tag": tag(F.col("text").cast("string"))}).join(sent(gone), ["_id", "_tag"], "left")
     kept = F.array_join(F.filter(F.transform(lines(F.col("text"), p), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "")
-    columns = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "lines_removed"]
-    return out.select(*columns, F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("lines_removed"))
+    first = first.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text").cast("string")).otherwise(kept))
+    left = first.select(F.col("_id").alias("doc_id"), F.col("_left").alias("text"))
+    met = materialise(meeting(materialise(picked_runs(left), "picked")), "met")
+    more = hits(materialise(long_runs(left, met), "runs")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag2"), F.col("starts").alias("_starts"))
+    more = sent(materialise(more, "repeated"))
+    out = first.withColumn("_tag2", tag(F.col("_left"))).join(more, ["_id", "_tag2"], "left")
+    out = out.withColumn("_words", F.when(F.col("_starts").isNotNull(), F.regexp_extract_all("_left", F.lit(r"\s*+\S++\s*+"), F.lit(0))))
+    out = out.withColumn("_rest", F.when(F.col("_starts").isNotNull(), without_runs(F.col("_words"), F.col("_starts"))))
+    text = F.when(F.col("_starts").isNotNull(), F.col("_rest.text")).when(F.col("_gone").isNotNull(), F.col("_left")).otherwise(F.col("text"))
+    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "lines_removed"]
+    count = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")) + F.coalesce(F.ceil(F.col("_rest.gone") / p.words), F.lit(0))
+    return out.select(*columns, count.cast("long").alias("lines_removed"))

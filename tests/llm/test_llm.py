@@ -289,6 +289,18 @@ def test_line_dedup(spark, sf, odd, none):
     assert {r.doc_id: r.text for r in got.collect() if r.doc_id in (1, 2, 3, 8)} == {1: None, 2: "", 3: " \n\t ", 8: "12345"}
 
 
+def test_line_dedup_any_place(spark):
+    rng = np.random.default_rng(5)
+    own = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**9, n))
+    passage = own(50)
+    rows = [(k, f"{own(100 + k)} {passage} {own(70)}") for k in range(12)]  # every phase of the twelve words
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[0].lines_removed == 0
+    for k, text in rows[1:]:
+        before, after = text.split(f" {passage} ")
+        assert (got[k].text, got[k].lines_removed) == (f"{before} {after}", 5)
+
+
 def test_decontamination(spark, sf, odd, none):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     plain = lambda t: f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} "
