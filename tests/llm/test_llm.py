@@ -301,6 +301,13 @@ def test_line_dedup_any_place(spark):
         assert (got[k].text, got[k].lines_removed) == (f"{before} {after}", 5)
 
 
+def test_line_dedup_short_lines(spark):
+    verse = "\n".join(f"a{k}!!" for k in range(60))  # three lines have fewer than 40 characters
+    rows = [(1, f"one two\n{verse}\nend"), (2, f"other words here {verse}\nlast")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "other words here last"}
+
+
 def test_decontamination(spark, sf, odd, none):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     plain = lambda t: f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} "
