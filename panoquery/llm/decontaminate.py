@@ -4,7 +4,9 @@ A text becomes canonical tokens: lower-cased words, and typed placeholders for n
 and names (#p: capitalised words inside a sentence). Windows of ``Params.width`` canonical tokens of all documents are
 joined by hash with those of the benchmark, so a question asked with other numbers or names still matches. On each
 diagonal of matches the values of the benchmark's slots must then stand for the same values of the document throughout;
-else matches that rest on slots don't count. A document holds an item when ``Params.share`` of the item's windows match.
+else the diagonal's matches that rest on slots don't count. The plain lower-cased windows are joined too, so verbatim copies
+match whatever white space or case they have, and so do items of too few literal words. A document holds an item when
+``Params.share`` of the item's windows match, on consistent diagonals or word for word.
 """
 
 from __future__ import annotations
@@ -53,14 +55,22 @@ def window_hashes(canon: Column, width: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, p: Params) -> DataFrame:
-    """(item_id, ipos, hash, width, windows, raw, canon): windows with enough literal words; a short item is one window."""
+    """(item_id, ipos, hash, form, width, plain, windows, raw, canon): windows with enough literal words, or all of an item that has none; a short item is one window.
+
+    ``form`` is canon or, for each of these windows, said: its lower-cased words. Windows without enough literals have no canon form.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     items = items.withColumns({"raw": tokens(F.col("text")), "canon": canonical(F.col("text"))}).where("size(canon) > 0")
     items = items.withColumn("width", F.least(F.size("canon"), F.lit(p.width)))
     at = F.transform(F.sequence(F.lit(0), F.size("canon") - F.col("width")), lambda i: F.struct(i.alias("ipos"), F.slice("canon", i + 1, F.col("width")).alias("w")))
     literal = F.size(F.filter("w", lambda x: ~x.startswith("#")))
     rows = items.select("item_id", "raw", "canon", "width", F.explode(at).alias("x")).select("item_id", "raw", "canon", "width", F.col("x.ipos").alias("ipos"), F.col("x.w").alias("w"))
-    rows = rows.where(literal >= F.least(F.lit(p.literals), F.col("width"))).select("item_id", "ipos", F.xxhash64("w").alias("hash"), "width", (literal == F.col("width")).alias("plain"), "raw", "canon")
+    rows = rows.withColumns({"plain": literal == F.col("width"), "enough": literal >= F.least(F.lit(p.literals), F.col("width"))})
+    rows = rows.join(rows.groupBy("item_id").agg(F.max("enough").alias("some")), "item_id").where("enough or not some")
+    told = F.transform(F.slice("raw", F.col("ipos") + 1, F.col("width")), F.lower)
+    forms = F.array(F.struct(F.lit("canon").alias("form"), F.xxhash64("w").alias("hash"), F.col("plain")), F.struct(F.lit("said").alias("form"), F.xxhash64(told).alias("hash"), F.lit(True).alias("plain")))
+    rows = rows.select("item_id", "ipos", "width", "enough", "raw", "canon", F.explode(forms).alias("f")).where("enough or f.form = 'said'")
+    rows = rows.select("item_id", "ipos", "f.hash", "f.form", "width", "f.plain", "raw", "canon")
     sizes = rows.groupBy("item_id").agg(F.countDistinct("ipos").alias("windows"))
     return rows.join(sizes, "item_id")
 
@@ -72,16 +82,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     as one document. Items shorter than a window match as a whole. Either table may be empty.
     """
     items = materialise(item_windows(benchmark, p), "items")
-    widths = sorted(r.width for r in items.select("width").distinct().collect())
+    passes = sorted((r.form, r.width) for r in items.select("form", "width").distinct().collect())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    keys = items.select("hash", "item_id", "ipos", "plain")
-    keys = F.broadcast(keys) if small(keys, p.broadcast_rows) else keys
-    canon = texts.select("doc_id", canonical(F.col("text")).alias("canon"))
+    made = {"canon": canonical(F.col("text")), "said": F.transform(tokens(F.col("text")), F.lower)}
     hits = None
-    for width in widths:
+    for form, width in passes:
+        keys = items.where((F.col("form") == form) & (F.col("width") == width)).select("hash", "item_id", "ipos", "plain")
+        keys = F.broadcast(keys) if small(keys, p.broadcast_rows) else keys
         # the outer form and a condition inside the generator keep Catalyst from computing the tokens a second time in a filter
-        each = F.when(F.size("canon") >= width, window_hashes(F.col("canon"), width))
-        rows = canon.select("doc_id", F.posexplode_outer(each).alias("pos", "hash"))
+        each = F.when(F.size("words") >= width, window_hashes(F.col("words"), width))
+        rows = texts.select("doc_id", made[form].alias("words")).select("doc_id", F.posexplode_outer(each).alias("pos", "hash"))
         part = rows.join(keys, "hash").select("doc_id", "pos", "item_id", "ipos", "plain")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
@@ -97,6 +107,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     own = semi(texts, pairs.select("doc_id").distinct(), "doc_id").select("doc_id", tokens(F.col("text")).alias("raw"))
     met = reach.join(slots, "item_id").where("t >= a and t < b + width").join(own, "doc_id")
     met = met.withColumn("heard", F.lower(F.get("raw", F.col("t") + F.col("shift")))).where("heard is not null")
-    maps = met.groupBy("doc_id", "item_id", "shift", "kind", "said").agg(F.countDistinct("heard").alias("n")).groupBy("doc_id", "item_id").agg(F.count("*").alias("slots"), F.max("n").alias("n"))
-    out = pairs.join(maps, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "matched", "literal", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), (F.coalesce("n", F.lit(1)) == 1).alias("consistent"))
-    return out.where(F.col("consistent") | (F.col("literal") >= F.lit(p.share) * F.col("windows"))).drop("literal")
+    maps = met.groupBy("doc_id", "item_id", "shift", "kind", "said").agg(F.countDistinct("heard").alias("n")).groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("slots"), F.max("n").alias("n"))
+    maps = materialise(maps, "diagonals")
+    # matches on diagonals that hold other values in one slot don't count, those on others do
+    good = semi(hits, pairs.select("doc_id").distinct(), "doc_id").join(maps.where("n > 1").select("doc_id", "item_id", "shift"), ["doc_id", "item_id", "shift"], "left_anti")
+    good = good.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("good"))
+    slots = maps.groupBy("doc_id", "item_id").agg(F.sum("slots").alias("slots"))
+    out = pairs.join(slots, ["doc_id", "item_id"], "left").join(good, ["doc_id", "item_id"], "left")
+    least = F.lit(p.share) * F.col("windows")
+    out = out.select("doc_id", "item_id", "matched", "literal", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), (F.coalesce("good", F.lit(0)) >= least).alias("consistent"))
+    return out.where(F.col("consistent") | (F.col("literal") >= least)).drop("literal")

@@ -325,6 +325,13 @@ def test_decontamination(spark, sf, odd, none):
     assert decontaminate.contaminated(odd, items).count() == 0
 
 
+def test_decontamination_few_literals(spark):
+    items = spark.createDataFrame([(1, "Compute 48 + 17 * 3 - 12"), (2, "1 2 3 4 5 6 7 8 9 10 11 and 12")], "item_id long, text string")
+    rows = [(1, "Please compute 48 + 17 * 3 - 12 now."), (2, "Compute 47 + 17 * 3 - 12"), (3, "so 1 2 3 4 5 6 7 8 9 10 11 and 12.")]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (3, 2)}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs
