@@ -332,6 +332,15 @@ def test_decontamination_few_literals(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (3, 2)}
 
 
+def test_decontamination_diagonals(spark):
+    ask = "A train that leaves {a} at noon covers {n} km in {m} hours; how far does the train from {a} get after {m} hours at {n} km an hour"
+    own = ask.format(a="Paris", n=120, m=3)
+    other = ask.format(a="Lyon", n=95, m=7).replace("95", "94", 1).replace("Lyon", "Nice", 1).replace("7", "8", 1)
+    rows = [(1, f"{own}. {other}."), (2, other), (3, own.replace(" Paris", "\nParis")), (4, own.lower())]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, own)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {1, 3, 4}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs
