@@ -17,10 +17,12 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this process where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where it may be unset, a folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="panoquery-"))
 
 
@@ -31,17 +33,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows: the check that stands before every broadcast."""
     return df.limit(most + 1).count() <= most
 
 
-def semi(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+def semi(df: DataFrame, ids: DataFrame, key: str | list[str], most: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids``; broadcast up to ``most`` ids, shuffled beyond."""
     return df.join(F.broadcast(ids) if small(ids, most) else ids, key, "left_semi")
 
 
-def without(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+def without(df: DataFrame, ids: DataFrame, key: str | list[str], most: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not in ``ids``; null keys stay. Broadcast up to ``most`` ids, shuffled beyond."""
     return df.join(F.broadcast(ids) if small(ids, most) else ids, key, "left_anti")
 

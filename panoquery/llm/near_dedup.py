@@ -3,9 +3,9 @@
 A document's set of word shingles is hashed once; the ``k`` smallest values are its sketch (bottom-k, from the public
 MinHash literature). Retained values go into inverted lists, keyed by short runs of values that follow each other in the
 sketch. Lists generate overlaps in linear number: every member meets the smallest member of its list and its neighbours
-in the order of the values that come next; these rounds only make components large early. The sketch of the union
+in the order of the values that come next; these rounds only make groups large early. The sketch of the union
 estimates the similarity of a pair; pairs that pass are confirmed on their full sets. At the end all members of a list that
-are still in different components are compared (``remaining``): few as pairs, many in blocks, on their full sets. Two members
+are still in different groups are compared (``remaining``): few as pairs, many in blocks, on their full sets. Two members
 that also share the value before the run share the list of the run before, and are left to that one.
 
 Runs: when ``k`` covers both sets, a pair at the threshold always shares a run of the lengths that both emit
@@ -19,13 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panoquery.llm.common import buffers, components, materialise, mix, semi, slices, small_batches, trim
+from panoquery.llm.common import buffers, components, free, materialise, mix, semi, slices, small_batches, trim, without
 
-HASH_BYTES = 6
-SKETCHES = "doc_id long, n long, k1 long, k2 long, sketch binary, hashes binary"
+SKETCHES = "doc_id long, said long, n long, k1 long, k2 long, sketch binary"
 _WORD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,7 +104,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """For each text its sorted distinct shingle hashes (48 bits, as uint64): runs of ``words`` words, or all words where there are fewer."""
+    """For each text its sorted distinct 64-bit shingle hashes: runs of ``words`` words, or all words where there are fewer."""
     hashes, counts = word_hashes(*buffers(column))
     ends = np.cumsum(counts)
     with np.errstate(over="ignore"):
@@ -115,83 +114,117 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
             total = np.full(n, np.uint64(width) * _WORD, np.uint64)
             for j in range(width):
                 total = mix(total + hashes[j : j + n] * np.uint64(2 * j + 1))
-            rolled[width] = total >> np.uint64(16)
+            rolled[width] = total
     for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
         width = min(n, words)
         yield np.unique(rolled[width][end - n : end - width + 1]) if n else np.zeros(0, np.uint64)
 
 
-def packed(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8")
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
-    raw[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
-    return raw.reshape(-1).view("<u8")
+def identity(values: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two signed numbers."""
+    with np.errstate(over="ignore"):
+        both = (np.add.reduce(mix(values + _WORD), dtype=np.uint64), np.add.reduce(mix(values * _WORD + np.uint64(7)), dtype=np.uint64))
+    return tuple(int(x.astype(np.int64)) for x in both)
 
 
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """One row per document: size, 128-bit identity, sketch and full hashes of its shingle set."""
+    """One row per row of ``docs``: a hash of its text, size and identity of its shingle set, and the sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            n, k1, k2, small, full = [], [], [], [], []
-            with np.errstate(over="ignore"):
-                for values in shingle_sets(batch.column("text"), p.words):
-                    n.append(len(values))
-                    k1.append(int(np.add.reduce(mix(values + _WORD), dtype=np.uint64).astype(np.int64)))
-                    k2.append(int(np.add.reduce(mix(values * _WORD + np.uint64(7)), dtype=np.uint64).astype(np.int64)))
-                    small.append(packed(values[: p.k]))
-                    full.append(packed(values))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(small, pa.binary()), pa.array(full, pa.binary())], ["doc_id", "n", "k1", "k2", "sketch", "hashes"])
+            n, k1, k2, small = [], [], [], []
+            for values in shingle_sets(batch.column("text"), p.words):
+                n.append(len(values))
+                one, two = identity(values)
+                k1.append(one)
+                k2.append(two)
+                small.append(values[: p.k].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("said"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(small, pa.binary())],
+                ["doc_id", "said", "n", "k1", "k2", "sketch"],
+            )
         trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, SKETCHES)
+    return picked(docs).mapInArrow(rows, SKETCHES)
 
 
-def inverted(classes: DataFrame, p: Params, before: bool = False) -> DataFrame:
-    """(key, nxt, rep): one row per run of retained values; ``nxt`` is the value after the run.
+def picked(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), said(text).alias("said"), text.alias("text"))
 
-    With ``before``: (key, prev, first, rep, n), where ``prev`` is the value before the run and ``first`` says that there is none.
-    """
-    lengths = run_lengths(p)
+
+def said(text: Column) -> Column:
+    """A hash that tells rows with the same doc_id and other texts apart; null for a null text."""
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """(rep, n, hashes): the full shingle sets of the classes ``wanted`` (doc_id, k1, k2, n, rep), made anew from their texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, after, reps, prev, first, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
-            with np.errstate(over="ignore"):
-                for rep, n, data in zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
-                    v = unpacked(data)
-                    for r in lengths[n if n <= p.k else 0]:
-                        m = len(v) - r + 1
-                        if m <= 0:
-                            continue
-                        total = np.full(m, np.uint64(r), np.uint64)
-                        for j in range(r):
-                            total = mix(total * _WORD + v[j : j + m])
-                        keys.append(total)
-                        after.append(np.append(v[r:], np.uint64(0)))
-                        reps.append(np.full(m, rep, np.int64))
-                        if before:
-                            prev.append(np.append(np.uint64(0), v[: m - 1]))
-                            first.append(np.arange(m) == 0)
-                            size.append(np.full(m, n, np.int64))
-            if before:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(prev).view(np.int64)), pa.array(np.concatenate(first)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(size))], ["key", "prev", "first", "rep", "n"])
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(after).view(np.int64)), pa.array(np.concatenate(reps))], ["key", "nxt", "rep"])
+        for batch in slices(batches, "text", 2 << 20):
+            made = list(shingle_sets(batch.column("text"), p.words))
+            keys = [identity(x) for x in made]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in made], pa.binary())],
+                ["doc_id", "k1", "k2", "hashes"],
+            )
         trim()
 
-    return classes.select("rep", "n", "sketch").mapInArrow(rows, "key long, prev long, first boolean, rep long, n long" if before else "key long, nxt long, rep long")
+    texts = semi(picked(docs).select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
+    own = texts.mapInArrow(rows, "doc_id long, k1 long, k2 long, hashes binary").join(wanted, ["doc_id", "k1", "k2"])
+    return own.select("rep", "n", "hashes").dropDuplicates(["rep"])
+
 
+def inverted(classes: DataFrame, p: Params, before: bool = False) -> DataFrame:
+    """(key, nxt, rep, g): one row per run of retained values of ``classes`` (rep, n, sketch, g); ``nxt`` is the value after the run.
 
-def overlaps(members: DataFrame, reach: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(a, b), a < b: pairs from inverted lists, at most ``reach`` + 2 for each member; only between different groups ``g``.
-    And (key, nxt, rep) of the lists that may have more than one member, for the next round.
+    With ``before``: (key, prev, first, rep, n, g), where ``prev`` is the value before the run and ``first`` says that there is none.
+    """
+    lengths = run_lengths(p)
 
-    ``members`` (key, nxt, rep, g) is dealt out by ranges of (key, nxt), so that a list of any length spreads over tasks.
-    Within a task a member meets its next ``reach`` neighbours, the smallest member that the task has of its list so far in the batch,
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 2048):
+                yield table(whole.slice(low, 2048))
+        trim()
+
+    def table(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, beside, first, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], []
+        with np.errstate(over="ignore"):
+            for n, data in zip(batch.column("n").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+                v, made = unpacked(data), 0
+                for r in lengths[n if n <= p.k else 0]:
+                    m = len(v) - r + 1
+                    if m <= 0:
+                        continue
+                    total = np.full(m, np.uint64(r), np.uint64)
+                    for j in range(r):
+                        total = mix(total * _WORD + v[j : j + m])
+                    keys.append(total)
+                    beside.append(np.append(np.uint64(0), v[: m - 1]) if before else np.append(v[r:], np.uint64(0)))
+                    first.append(np.arange(m) == 0)
+                    made += m
+                times.append(made)
+        key, other = (pa.array(np.concatenate(x).view(np.int64)) for x in (keys, beside))
+        rep, g, size = (pa.array(np.repeat(batch.column(c).to_numpy(), times)) for c in ("rep", "g", "n"))
+        if before:
+            return pa.RecordBatch.from_arrays([key, other, pa.array(np.concatenate(first)), rep, size, g], ["key", "prev", "first", "rep", "n", "g"])
+        return pa.RecordBatch.from_arrays([key, other, rep, g], ["key", "nxt", "rep", "g"])
+
+    return classes.select("rep", "n", "sketch", "g").mapInArrow(rows, "key long, prev long, first boolean, rep long, n long, g long" if before else "key long, nxt long, rep long, g long")
+
+
+def overlaps(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b: pairs from inverted lists, at most three for each member; only between different groups ``g``.
+    And (rep): the members of lists that may have more than one.
+
+    ``members`` (key, nxt, rep, g) is dealt out by ranges of (key, nxt, rep), so that a list of any length spreads over tasks.
+    Within a task a member meets its next neighbour, the smallest member that the task has of its list so far in the batch,
     and the neighbour in another group. Lists that go on in the next task hand one member each to a second, small pass.
     """
 
@@ -200,7 +233,7 @@ def overlaps(members: DataFrame, reach: int = 1) -> tuple[DataFrame, DataFrame]:
         first_key = None
         edge = []
         for batch in batches:
-            key, rep, g, nxt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "g", "nxt"))
+            key, rep, g = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "g"))
             if len(key) == 0:
                 continue
             if first_key is None:
@@ -209,33 +242,27 @@ def overlaps(members: DataFrame, reach: int = 1) -> tuple[DataFrame, DataFrame]:
             more = np.append(key[1:] == key[:-1], True)
             more[1:] |= key[1:] == key[:-1]
             more[0] = True
-            yield listed(key[more], nxt[more], rep[more])
+            yield listed(np.unique(rep[more]))
             if carried is not None:
                 key, rep, g = (np.concatenate([[x], y]) for x, y in zip(carried, (key, rep, g), strict=True))
             begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(begins, len(key)))
             order = np.repeat(begins, sizes)
             best_g = np.repeat(np.minimum.reduceat(g, begins), sizes)
-            left, right, apart = [rep], [rep], [g != best_g]
-            for w in range(1, min(reach, len(key) - 1) + 1):
-                same = key[w:] == key[:-w]
-                left.append(rep[:-w][same])
-                right.append(rep[w:][same])
-                apart.append((g[w:] != g[:-w])[same])
             # g is the smallest id of a group, so the list's smallest group is the group of a member; the member itself may be another
             where = np.flatnonzero(g == best_g)
             head = np.full(len(begins), -1)
             at = np.searchsorted(begins, where, "right") - 1
             head[at[::-1]] = where[::-1]
-            left[0] = rep[np.repeat(head, sizes)]
+            same = key[1:] == key[:-1]
             changes = np.flatnonzero(np.append(False, g[1:] != g[:-1]))
             last = np.full(len(key), -1)
             last[changes] = changes - 1
             last = np.maximum.accumulate(last)
             ok = last >= order
-            left.append(rep[last[ok]])
-            right.append(rep[ok])
-            apart.append(g[last[ok]] != g[ok])
+            left = [rep[np.repeat(head, sizes)], rep[:-1][same], rep[last[ok]]]
+            right = [rep, rep[1:][same], rep[ok]]
+            apart = [g != best_g, (g[1:] != g[:-1])[same], g[last[ok]] != g[ok]]
             a, b, ok = np.concatenate(left), np.concatenate(right), np.concatenate(apart)
             a, b = a[ok], b[ok]
             found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
@@ -254,10 +281,13 @@ def overlaps(members: DataFrame, reach: int = 1) -> tuple[DataFrame, DataFrame]:
 
     def out(found: np.ndarray, edge: list) -> pa.RecordBatch:
         n, m = len(found), len(edge)
-        return pa.RecordBatch.from_arrays([pa.array([None] * n + [e[0] for e in edge], pa.int64()), pa.array(np.append(found[:, 0], [e[1] for e in edge]).astype(np.int64)), pa.array(np.append(found[:, 1], [e[2] for e in edge]).astype(np.int64)), pa.array(["pair"] * n + ["edge"] * m, pa.string())], names)
+        key = pa.array([None] * n + [e[0] for e in edge], pa.int64())
+        a, b = (pa.array(np.append(found[:, i], [e[i + 1] for e in edge]).astype(np.int64)) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([key, a, b, pa.array(["pair"] * n + ["edge"] * m, pa.string())], names)
 
-    def listed(key: np.ndarray, nxt: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(nxt), pa.array(rep), pa.array(["member"] * len(key), pa.string())], names)
+    def listed(rep: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(rep), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(rep), none, pa.array(["member"] * len(rep), pa.string())], names)
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.select("key", "nxt", "rep", "g").repartitionByRange(parts, "key", "nxt", "rep").sortWithinPartitions("key", "nxt", "rep")
@@ -266,7 +296,7 @@ def overlaps(members: DataFrame, reach: int = 1) -> tuple[DataFrame, DataFrame]:
     heads = ends.groupBy("key").agg(F.min(F.struct("g", "rep")).alias("h"))
     spread = ends.join(heads, "key").where("g <> h.g").select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b"))
     found = made.where("kind = 'pair'").select("a", "b").unionByName(spread).where("a <> b").distinct()
-    return found, made.where("kind = 'member'").select("key", F.col("a").alias("nxt"), F.col("b").alias("rep"))
+    return found, made.where("kind = 'member'").select(F.col("a").alias("rep")).distinct()
 
 
 def _estimate(p: Params):
@@ -297,22 +327,38 @@ def _exact(p: Params):
     return rows
 
 
-BLOCK, SHINGLES, FEW = 1024, 4_000_000, 32
+BLOCK, SHINGLES, FEW, MANY = 1024, 1_000_000, 32, 64
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the rows of each key, sorted, in blocks of at most BLOCK rows and about SHINGLES shingles."""
+    """Number the rows of each key, sorted, in blocks of at most BLOCK rows and about SHINGLES shingles.
+
+    Runs of MANY rows with the same value before and group have blocks of their own, so that blocks which need no
+    comparison are seen as a whole. Lists of one group that a batch holds from end to end are left out.
+    """
     from pyspark import TaskContext
 
     block, now, rows, held = TaskContext.get().partitionId() << 32, None, 0, 0
     for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        key, prev, g, n = (batch.column(c).to_numpy() for c in ("key", "prev", "g", "n"))
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(begins, len(key)))
+        closed = np.minimum.reduceat(g, begins) == np.maximum.reduceat(g, begins)
+        closed[[0, -1]] = False
+        keep = np.repeat(~closed, sizes)
+        changes = np.append(True, (key[1:] != key[:-1]) | (prev[1:] != prev[:-1]) | (g[1:] != g[:-1]))
+        runs = np.diff(np.append(np.flatnonzero(changes), len(key)))
+        long = np.repeat(runs >= MANY, runs)
+        cuts = changes & (long | np.append(False, long[:-1]))
         out = []
-        for key, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            if key != now or rows == BLOCK or held + n > SHINGLES:
-                block, now, rows, held = block + 1, key, 0, 0
-            rows, held = rows + 1, held + n
+        for one, cut, size in zip(key[keep].tolist(), cuts[keep].tolist(), n[keep].tolist(), strict=True):
+            if one != now or cut or rows == BLOCK or held + size > SHINGLES:
+                block, now, rows, held = block + 1, one, 0, 0
+            rows, held = rows + 1, held + size
             out.append(block)
-        yield batch.append_column("block", pa.array(out, pa.int64()))
+        yield batch.filter(pa.array(keep)).append_column("block", pa.array(out, pa.int64()))
 
 
 def jobs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Table]:
@@ -347,15 +393,17 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(p: Params):
-    """For each job, its two blocks' members compared on full sets: the links that join groups."""
+    """For each job, the host's members compared with the guests on full sets: the links that join groups."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in jobs(batches, "key", "ba", "bb"):
+        for t in jobs(batches, "key", "host", "part"):
             rep, g, prev, first, block = (t.column(c).to_numpy() for c in ("rep", "g", "prev", "first", "block"))
             sets = [unpacked(x) for x in t.column("hashes").to_pylist()]
             n = np.array([len(x) for x in sets])
-            ia = np.flatnonzero(block == t.column("ba")[0].as_py())
-            ib = np.flatnonzero(block == t.column("bb")[0].as_py())
+            ia = np.flatnonzero(block == t.column("host")[0].as_py())
+            ib = np.flatnonzero(t.column("guest").to_numpy())
+            if len(ia) == 0:
+                continue
             _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
             where = np.cumsum(times > 1) - 1
             row, col = np.repeat(np.arange(len(sets)), n)[times[col] > 1], where[col[times[col] > 1]]
@@ -391,90 +439,127 @@ def _compared(p: Params):
     return rows
 
 
-def remaining(lists: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, tried: DataFrame, p: Params) -> DataFrame:
-    """Links (a, b) between members of one list that are in different components: all that the rounds left."""
-    roots = found.select(F.col("a").alias("rep"), F.col("b").alias("root"))
-    grouped = lists.join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("g"))
-    open_keys = materialise(grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key"), "open")
-    reps = semi(lists, open_keys, "key").select("rep").distinct()
-    again = semi(inverted(semi(classes, materialise(reps, "reps"), "rep"), p, before=True), open_keys, "key")
-    rows = again.join(roots, "rep", "left").select("key", "prev", "first", "rep", "n", F.coalesce("root", "rep").alias("g"))
-    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "key", "prev", "rep").sortWithinPartitions("key", "prev", "rep")
+def remaining(classes: DataFrame, sets: DataFrame, tried: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between members of one list that are in different groups: all that the rounds left. ``classes``: (rep, n, sketch, g)."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = inverted(classes, p, before=True)
+    dealt = rows.repartitionByRange(parts, "key", "prev", "g", "rep").sortWithinPartitions("key", "prev", "g", "rep")
     members = materialise(dealt.mapInArrow(_blocks, "key long, prev long, first boolean, rep long, n long, g long, block long"), "blocks")
     # min and max say whether one value before the run, or one group, holds for a whole block
-    about = [f(c).alias(c + k) for c in ("prev", "g") for k, f in (("0", F.min), ("1", F.max))]
+    about = [f(c).alias(c + k) for c in ("prev", "g", "n") for k, f in (("0", F.min), ("1", F.max))]
     blocks = materialise(members.groupBy("key", "block").agg(F.count("*").alias("size"), F.max("first").alias("first"), *about), "sizes")
-    few = members.join(blocks.where(F.col("size").between(2, FEW)).select("key", "block"), ["key", "block"], "left_semi")
+    few = members.join(blocks.where(F.col("size").between(2, FEW) & (F.col("g0") < F.col("g1"))).select("key", "block"), ["key", "block"], "left_semi")
     few = few.repartition(parts, "key", "block").sortWithinPartitions("key", "block").mapInArrow(_few, "a long, b long").distinct()
-    few = confirmed(materialise(few.join(tried, ["a", "b"], "left_anti"), "few"), sets, p)
-    x, y = blocks.alias("x"), blocks.alias("y")
-    one = lambda c: (F.col(f"x.{c}0") == F.col(f"x.{c}1")) & (F.col(f"y.{c}0") == F.col(f"y.{c}1")) & (F.col(f"x.{c}0") == F.col(f"y.{c}0"))
-    work = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")))
-    work = work.where((F.col("x.block") < F.col("y.block")) | (F.col("x.size") > FEW)).where(~one("g") & (~one("prev") | F.col("x.first") | F.col("y.first")))
-    work = materialise(work.select(F.col("x.key").alias("key"), F.col("x.block").alias("ba"), F.col("y.block").alias("bb")), "jobs")
+    few = confirmed(materialise(few.join(tried, ["a", "b"], "left_anti"), "few"), classes, sets, p)
+    work = materialise(jobs_of(blocks, p), "jobs")
     if work.isEmpty():
         return few
-    sides = work.withColumn("block", F.explode(F.array_distinct(F.array("ba", "bb"))))
-    sent = sides.join(members.drop("n"), ["key", "block"]).join(sets.select(F.col("doc_id").alias("rep"), "hashes"), "rep")
-    sent = sent.repartition(parts, "key", "ba", "bb").sortWithinPartitions("key", "ba", "bb")
+    # the host's members that may be as large as a guest, and all guests
+    host = work.select("key", F.col("host").alias("block"), "host", "part", "low", "high", F.col("self").alias("guest"))
+    host = host.join(members, ["key", "block"]).where("guest or n between low and high").drop("low", "high")
+    guests = work.select("key", F.explode("guests").alias("block"), "host", "part").where("block <> host").join(members, ["key", "block"])
+    sent = host.unionByName(guests.withColumn("guest", F.lit(True)), allowMissingColumns=True).drop("n").join(sets.select("rep", "hashes"), "rep")
+    sent = sent.repartition(parts, "key", "host", "part").sortWithinPartitions("key", "host", "part")
     return few.unionByName(materialise(sent.mapInArrow(_compared(p), "a long, b long").distinct(), "compared"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose documents are similar enough: sizes, then union sketches, then full sets."""
+def jobs_of(blocks: DataFrame, p: Params) -> DataFrame:
+    """(key, host, part, guests, self, low, high): for each block the smaller ones to compare it with, BLOCK rows of them at a time.
 
-    def attached(which: DataFrame, column: str) -> DataFrame:
-        ids = which.select(F.col("a").alias("doc_id")).union(which.select("b")).distinct()
-        own = semi(sets.select("doc_id", "n", F.col(column).alias("s")), ids, "doc_id")
-        out = which.join(own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
-        out = out.join(own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
+    Left out are pairs of blocks of one group, those that share a list before, and those of too different sizes.
+    """
+    x, y = blocks.alias("x"), blocks.alias("y")
+    one = lambda c: (F.col(f"x.{c}0") == F.col(f"x.{c}1")) & (F.col(f"y.{c}0") == F.col(f"y.{c}1")) & (F.col(f"x.{c}0") == F.col(f"y.{c}0"))
+    order = lambda s: F.struct(f"{s}.size", f"{s}.block")
+    work = x.join(y, (F.col("x.key") == F.col("y.key")) & (order("x") >= order("y")))
+    work = work.where((F.col("x.block") != F.col("y.block")) | (F.col("x.size") > FEW)).where(~one("g") & (~one("prev") | F.col("x.first") | F.col("y.first")))
+    work = work.where((F.col("x.n1") * 100 >= F.col("y.n0") * p.percent) & (F.col("y.n1") * 100 >= F.col("x.n0") * p.percent))
+    work = work.select("x.key", F.col("x.block").alias("host"), F.col("y.block").alias("guest"), F.col("y.size").alias("size"), F.col("y.n0").alias("n0"), F.col("y.n1").alias("n1"))
+    before = F.sum("size").over(Window.partitionBy("key", "host").orderBy("guest").rowsBetween(Window.unboundedPreceding, 0))
+    work = work.withColumn("part", F.floor((before - 1) / BLOCK))
+    return work.groupBy("key", "host", "part").agg(
+        F.collect_list("guest").alias("guests"),
+        F.max(F.col("guest") == F.col("host")).alias("self"),
+        F.floor(F.min("n0") * p.percent / 100).alias("low"),
+        F.ceil(F.max("n1") * 100 / p.percent).alias("high"),
+    )
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose classes are similar enough: sizes, then union sketches, then full sets."""
+
+    def attached(which: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        ids = which.select(F.col("a").alias("rep")).union(which.select("b")).distinct()
+        own = semi(of.select("rep", "n", F.col(column).alias("s")), ids, "rep")
+        out = which.join(own.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+        out = out.join(own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
         return out.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent).select("a", "b", "sa", "sb")
 
-    likely = materialise(attached(pairs, "sketch").mapInArrow(_estimate(p), "a long, b long"), "likely")
-    return materialise(attached(likely, "hashes").mapInArrow(_exact(p), "a long, b long"), "links")
+    likely = materialise(attached(pairs, classes, "sketch").mapInArrow(_estimate(p), "a long, b long"), "likely")
+    return materialise(attached(likely, sets, "hashes").mapInArrow(_exact(p), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params(), rounds: int = 8) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id, component_id, kept.
+def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, said, n_shingles, class_id, component_id, group_id, kept.
 
-    At most ``rounds`` cheap rounds link what they can; the comparison of what remains completes them.
-    ``class_id`` is the smallest document with the same shingle set; classes are linked, copies are not expanded.
-    A null or empty text, and one without words, has the empty set: n_shingles 0, linked with nothing. A null doc_id is
-    linked with nothing and comes back with null component and kept true. Repeated rows come back as often as they come.
+    Cheap rounds link what they can, as long as a round adds a quarter to the links; the comparison of what remains
+    completes them. ``class_id`` is the smallest document with the same shingle set; classes are linked, copies are not
+    expanded. A null or empty text, and one without words, has the empty set: n_shingles 0, linked with nothing. A null
+    doc_id is linked with nothing and comes back with null component and kept true. Repeated rows come back as often as
+    they come; rows with one doc_id and other texts are each linked by their own text (``said`` is the text's hash), so two
+    groups may have one component_id then: ``group_id`` tells them apart.
     """
     small_batches(docs.sparkSession)
-    sets = materialise(sketches(docs, p), "sketches")
-    some = sets.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    lists = materialise(inverted(classes, p), "lists")
-    reps = some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"))
-    own = some.select("doc_id", "n", "sketch", "hashes").dropDuplicates(["doc_id"]) if _repeats(some) else some.select("doc_id", "n", "sketch", "hashes")
+    held = materialise(sketches(docs, p), "sketches")
+    some = held.where("n > 0 and doc_id is not null")
+    classes = some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    # a class is known by its smallest document, or by a number of its own where one document has several texts
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id() if _repeats(classes) else F.col("doc_id")), "classes")
+    pairs, several = overlaps(materialise(inverted(classes.withColumn("g", F.col("rep")), p), "lists"))
+    close = materialise(semi(classes, materialise(several, "several"), "rep"), "close")
+    sets = materialise(full_sets(docs, close.select("doc_id", "k1", "k2", "n", "rep"), p), "sets")
     links, found, tried = None, None, None
-    for turn in range(rounds):
-        members = lists.withColumn("g", F.col("rep"))
-        if found is not None:
-            roots = found.select(F.col("a").alias("rep"), F.col("b").alias("root"))
-            members = lists.join(roots, "rep", "left").select("key", "nxt", "rep", F.coalesce("root", "rep").alias("g"))
-        pairs, left = overlaps(members)
-        lists = left if not turn else lists
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        new = confirmed(pairs, own, p)
+    while True:
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = confirmed(pairs, close, sets, p)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if turn and new.isEmpty():
-            break
+        more, before = new.count(), links.count() if links is not None else 0
         links = new if links is None else links.unionByName(new)
-        found = components(links)
-    rest = remaining(lists, classes, own, found, tried, p)
+        found = components(links) if more or found is None else found
+        members = close.join(found.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("rep", "n", "sketch", F.coalesce("root", "rep").alias("g"))
+        if 4 * more <= before:
+            break
+        pairs, _ = overlaps(materialise(inverted(members, p), "lists"))
+    rest = remaining(members, sets, tried, p)
     if not rest.isEmpty():
         found = components(links.unionByName(rest))
-    out = sets.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2", "n"], "left")
-    out = out.withColumn("class_id", F.coalesce("class_id", "doc_id")).join(found.select(F.col("a").alias("class_id"), F.col("b").alias("root")), "class_id", "left")
-    out = out.withColumn("component_id", F.coalesce("root", "class_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    joined = classes.join(found.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("k1", "k2", "n", F.col("doc_id").alias("class_id"), F.coalesce("root", "rep").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("class_id").alias("component"))
+    told = materialise(joined.join(lowest, "root").select("k1", "k2", "n", "class_id", "component", "root"), "components")
+    out = held.select("doc_id", "said", "n", "k1", "k2").join(told, ["k1", "k2", "n"], "left")
+    known = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias
+    out = out.select("doc_id", "said", F.col("n").alias("n_shingles"), known("class_id")("class_id"), known("component")("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("group_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _repeats(df: DataFrame) -> bool:
-    return not df.groupBy("doc_id").count().where("count > 1").isEmpty()
+def representatives(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row of each group of near-duplicate rows of ``docs``, with its columns; all rows without an id or a shingle.
+
+    The row is one of the smallest doc_id; where that id has several rows in the group, one of the smallest hash of the text.
+    """
+    found = materialise(near_duplicates(docs, p).where("group_id is not null"), "found")
+    chosen = found.where("kept").groupBy("group_id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "said")).alias("one"))
+    again = materialise(chosen.where("n > 1").select("group_id", "one.doc_id", "one.said"), "again")
+    gone = found.where("not kept").select("doc_id", "said")
+    if not again.isEmpty():
+        gone = gone.union(found.join(again.select("group_id"), "group_id", "left_semi").select("doc_id", "said"))
+    key = free(docs, "_doc", "_said")
+    rows = docs.withColumns(dict(zip(key, (F.col("doc_id").cast("long"), said(F.col("text").cast("string"))), strict=True)))
+    out = without(rows, materialise(gone.distinct().toDF(*key), "copies"), key)
+    if not again.isEmpty():
+        out = out.unionByName(semi(rows, again.select("doc_id", "said").toDF(*key), key).dropDuplicates(key))
+    return out.select(*docs.columns)
+
+
+def _repeats(classes: DataFrame) -> bool:
+    return not classes.groupBy("doc_id").count().where("count > 1").isEmpty()

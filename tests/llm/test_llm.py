@@ -88,6 +88,36 @@ def test_near_duplicates_star(spark, words, percent, changes):
     assert {r.doc_id: r.component_id for r in got.collect()} == groups(linked, ids) and len(linked) >= 300
 
 
+def test_near_duplicates_fuzzy(spark):
+    """A group of near copies whose links run through chains: each has three words of a base replaced from a small set."""
+    rng = np.random.default_rng(9)
+    base = [f"b{k}" for k in range(90)]
+    docs = {}
+    for k in range(1200):
+        own = list(base)
+        for at in rng.choice(90, 3, replace=False):
+            own[at] = f"x{rng.integers(0, 20)}"
+        docs[k] = " ".join(own)
+    s = sets(docs, 3)
+    ids = sorted(s)
+    linked = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), near_dedup.Params(3, 85))
+    assert {r.doc_id: r.component_id for r in got.collect()} == groups(linked, ids) and len(linked) > 30
+
+
+def test_near_duplicates_rows(spark):
+    """Rows that repeat an id: each is linked by its own text, and one row of each group stays."""
+    text = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("b") + " end"), (4, text("c")), (4, text("c")), (5, text("d")), (5, text("d") + " end"), (5, text("e")), (None, text("a")), (None, text("a")), (6, ""), (6, "")]
+    df = spark.createDataFrame([(i, t, 7, 8) for i, t in rows], "doc_id long, text string, group_id int, _said int")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True), (5, 5, True), (5, 5, True), (5, 5, True), (None, None, True), (None, None, True), (6, 6, True), (6, 6, True)], key=str)
+    left = near_dedup.representatives(df)
+    assert left.columns == df.columns
+    kept = sorted(((r.doc_id, r.text[:1]) for r in left.collect()), key=str)
+    assert kept == sorted([(1, "a"), (2, "b"), (4, "c"), (5, "d"), (5, "e"), (None, "a"), (None, "a"), (6, ""), (6, "")], key=str)
+
+
 def test_near_duplicates_odd(odd, none):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd, near_dedup.Params(3, 85)).collect())
     assert len(got) == len(ODD) and got.count((6, 9, 5, False)) == 2 and (1, 0, 1, True) in got and (0, 2, None, True) in got
