@@ -26,8 +26,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs, near_dedup.Params(words=5, percent=80))
-    return without(docs, materialise(found.where("not kept").select("doc_id").distinct(), "copies"), "doc_id").select(*docs.columns)
+    return near_dedup.representatives(docs, near_dedup.Params(words=5, percent=80))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
