@@ -26,6 +26,7 @@ from panoquery.llm.common import buffers, components, free, materialise, mix, se
 
 SKETCHES = "doc_id long, said long, n long, k1 long, k2 long, sketch binary"
 _WORD = np.uint64(0x9E3779B97F4A7C15)
+SLICE = 512 << 10  # bytes of text that a worker hashes at a time
 
 
 @dataclass(frozen=True)
@@ -135,7 +136,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
     """One row per row of ``docs``: a hash of its text, size and identity of its shingle set, and the sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             n, k1, k2, small = [], [], [], []
             for values in shingle_sets(batch.column("text"), p.words):
                 n.append(len(values))
@@ -166,7 +167,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
     """(rep, n, hashes): the full shingle sets of the classes ``wanted`` (doc_id, k1, k2, n, rep), made anew from their texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             made = list(shingle_sets(batch.column("text"), p.words))
             keys = [identity(x) for x in made]
             yield pa.RecordBatch.from_arrays(
@@ -327,7 +328,7 @@ def _exact(p: Params):
     return rows
 
 
-BLOCK, SHINGLES, FEW, MANY = 1024, 1_000_000, 32, 64
+BLOCK, SHINGLES, FEW, MANY = 1024, 500_000, 32, 64
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,9 +411,9 @@ def _compared(p: Params):
             order = np.argsort(col, kind="stable")
             row, col = row[order], col[order]
             inter = np.zeros((len(ia), len(ib)), np.float32)
-            for low in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
-                i, j = np.searchsorted(col, (low, low + 4096))
-                has = np.zeros((len(sets), 4096), np.float32)
+            for low in range(0, int(col[-1]) + 1 if len(col) else 0, 1024):
+                i, j = np.searchsorted(col, (low, low + 1024))
+                has = np.zeros((len(sets), 1024), np.float32)
                 has[row[i:j], col[i:j] - low] = 1
                 inter += has[ia] @ has[ib].T
             inter = inter.astype(np.int64)
@@ -519,19 +520,20 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     close = materialise(semi(classes, materialise(several, "several"), "rep"), "close")
     sets = materialise(full_sets(docs, close.select("doc_id", "k1", "k2", "n", "rep"), p), "sets")
     links, found, tried = None, None, None
+    members = close.withColumn("g", F.col("rep"))
     while True:
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = confirmed(pairs, close, sets, p)
         tried = pairs if tried is None else tried.unionByName(pairs)
         more, before = new.count(), links.count() if links is not None else 0
         links = new if links is None else links.unionByName(new)
-        found = components(links) if more or found is None else found
-        members = close.join(found.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("rep", "n", "sketch", F.coalesce("root", "rep").alias("g"))
         if 4 * more <= before:
             break
+        found = components(links)
+        members = close.join(found.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("rep", "n", "sketch", F.coalesce("root", "rep").alias("g"))
         pairs, _ = overlaps(materialise(inverted(members, p), "lists"))
     rest = remaining(members, sets, tried, p)
-    if not rest.isEmpty():
+    if found is None or more or not rest.isEmpty():
         found = components(links.unionByName(rest))
     joined = classes.join(found.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("k1", "k2", "n", F.col("doc_id").alias("class_id"), F.coalesce("root", "rep").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("class_id").alias("component"))
