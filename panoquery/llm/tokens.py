@@ -45,9 +45,9 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Encodes texts by the tokenizer file at ``path``. Strings of special tokens inside a text are ordinary text.
+    """Encodes texts by the tokenizer file at ``path``, as its ``encode`` does without adding special tokens.
 
-    A byte-level BPE tokenizer splits a text into pieces by ``PIECES`` and encodes each by itself, so distinct pieces are
+    Texts that hold the string of an added token are encoded whole by the library, which makes that token's id of it. A byte-level BPE tokenizer splits a text into pieces by ``PIECES`` and encodes each by itself, so distinct pieces are
     encoded once and kept in a table of at most ``KNOWN`` pieces (200 bytes each).
     """
 
@@ -56,7 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.model._resize_cache(0)  # the table below does its work
         self.known = Pieces(self.tokenizer, KNOWN)
 
@@ -65,7 +65,7 @@ class Encoder:
         end, ids_of = np.array([END], ID_TYPE).tobytes(), self.known.__getitem__
         out = []
         for text in texts:
-            if not text or PLAIN.fullmatch(text):
+            if not text or (PLAIN.fullmatch(text) and not any(x in text for x in self.added)):
                 out.append(np.frombuffer(b"".join(map(ids_of, PIECES.findall(text or ""))) + end, ID_TYPE))
             else:
                 out.append(np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], ID_TYPE))
