@@ -14,7 +14,7 @@ from panoquery.llm.tokens import Encoder, byte_bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, spans string, hash string, lines_removed long, tag int"
 LONG = "wordy text of many words. " * 3000
-ODD = [(1, None), (2, ""), (3, " \n\t "), (4, LONG), (5, "Same words stand here for all of us to read twice."), (6, "Same words stand here for all of us to read twice."), (6, "Same words stand here for all of us to read twice."), (None, "no id at all"), (7, "é😀 日本 a@b.co"), (8, "12345")]
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, LONG), (5, "Same words stand here for all of us to read twice."), (6, "Same words stand here for all of us to read twice."), (6, "Same words stand here for all of us to read twice."), (None, "no id at all"), (7, "é😀 日本 a@b.co"), (8, "12345"), (9, "a <|endoftext|> b")]
 
 
 @pytest.fixture(scope="module")
@@ -152,7 +152,7 @@ def test_encoder():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(byte_bpe())
-    cases = ["", "a  b\n\n c's  ", "日本 語", "a\x85b\xa0c", " ", "\n\n\n \n", "I'll they've 's 3²4 ½ ×÷ ǀ ª\t\tx", "x" * 5000, LONG]
+    cases = ["", "a  b\n\n c's  ", "日本 語", "a\x85b\xa0c", " ", "\n\n\n \n", "I'll they've 's 3²4 ½ ×÷ ǀ ª\t\tx", "x" * 5000, LONG, "a <|endoftext|> b", "<|endoftext|>", "日<|endoftext|><|endoftext|>1"]
     want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in cases]
     for most in (400_000, 3):
         encoder = Encoder(byte_bpe())
@@ -171,7 +171,8 @@ def test_token_files(spark, sf, odd, none, tmp_path):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op2_token_output(spark, sf).collect()} == want
     token_files.write(odd, f"file://{tmp_path}/odd", block_tokens=1000)
     got = sorted(token_files.read(spark, f"file://{tmp_path}/odd").collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 5, 6, 6, 7, 8] and [r.start for r in got] == np.cumsum([0] + [len(r.ids) // 4 for r in got])[:-1].tolist()
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 5, 6, 6, 7, 8, 9] and [r.start for r in got] == np.cumsum([0] + [len(r.ids) // 4 for r in got])[:-1].tolist()
+    assert bytes(got[-1].ids) == ids_of({9: ODD[-1][1]})[9].tobytes()
     token_files.write(none, f"file://{tmp_path}/none")
     assert token_files.read(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -186,7 +187,7 @@ def test_packing(spark, sf, odd, none):
         assert r.offset == held.get(r.sequence_id, 0)
         held[r.sequence_id] = r.offset + r.length
     assert all(n <= 1024 and (n == 1024 or n & (n - 1) == 0) for n in held.values())
-    assert len({(r.doc_id, r.doc_tokens) for r in packing.pack(odd).collect()}) == 9 and packing.pack(none).count() == 0
+    assert len({(r.doc_id, r.doc_tokens) for r in packing.pack(odd).collect()}) == 10 and packing.pack(none).count() == 0
 
 
 def test_language(spark, odd, none):
@@ -230,15 +231,28 @@ def test_vectors(spark, sf):
     np.fill_diagonal(near, False)
     ids = [i for i, *_ in rows]
     want = groups([(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(near)), strict=True)], ids)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df, embedding_dedup.Params(per_cell=20, block=16)).collect()}
-    found = sum(n for n, *_ in got.values())
-    assert found <= near.sum() and found >= 0.99 * near.sum()  # cells are approximate: nothing false, hardly anything missed
-    assert all(got[i] == (0, i, True) for i, *_ in bad)
-    exact = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df).collect()}
-    assert exact | {} == {i: (int(n), want[i], want[i] == i) for i, n in zip(ids, near.sum(1), strict=True)} | {i: (0, i, True) for i, *_ in bad}
+    want = {i: (int(n), want[i], want[i] == i) for i, n in zip(ids, near.sum(1), strict=True)} | {i: (0, i, True) for i, *_ in bad}
+    for p in (embedding_dedup.Params(), embedding_dedup.Params(per_cell=20, block=16), embedding_dedup.Params(per_cell=4, first_cells=3, block=16)):  # one cell, one level of cells, two
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df, p).collect()} == want
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_many_cells():
+    """Every near pair shares a cell, in few and in many dimensions."""
+    rng = np.random.default_rng(6)
+    for dim, k in ((3, 40), (8, 100), (64, 256)):
+        p = embedding_dedup.Params()
+        x = rng.normal(size=(3000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side = rng.normal(size=x.shape)
+        side -= (side * x).sum(1, keepdims=True) * x
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        c = rng.uniform(0.93, 0.96, (len(x), 1))
+        y = c * x + np.sqrt(1 - c * c) * side
+        centre = embedding_dedup.centroids(np.concatenate([x, y]), k, p)
+        assert (embedding_dedup.reached(x, centre, p) & embedding_dedup.reached(y, centre, p)).any(1).all()
+
+
 def test_chat(spark, sf):
     df = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (-8, 0, "user", None), (-8, 1, "assistant", "a\\[b\n]<s>[/]</s>\n\\"), (-8, 1, "assistant", ""), (-9, 5, "us]er", LONG), (-10, 0, None, None)]
