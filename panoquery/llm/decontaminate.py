@@ -5,8 +5,8 @@ and names (#p: capitalised words inside a sentence). Windows of ``Params.width``
 joined by hash with those of the benchmark, so a question asked with other numbers or names still matches. On each
 diagonal of matches the values of the benchmark's slots must then stand for the same values of the document throughout;
 else the diagonal's matches that rest on slots don't count. The plain lower-cased windows are joined too, so verbatim copies
-match whatever white space or case they have, and so do items of too few literal words. A document holds an item when
-``Params.share`` of the item's windows match, on consistent diagonals or word for word.
+match whatever white space or case they have, and so do items of too few literal words. A row holds an item when
+``Params.share`` of the item's windows match near each other, on consistent diagonals or word for word.
 """
 
 from __future__ import annotations
@@ -42,16 +42,51 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(text, r"(\p{N}+(?:[.,]\p{N}+)*+)", "\u0001n$1")
 
 
-def canonical(text: Column) -> Column:
-    """Canonical tokens, as many as ``tokens``. A sign U+0001 of the text itself counts as a space."""
+def found_tokens(text: Column) -> Column:
+    """Raw tokens, as many as ``tokens``; slots have a sign in front. A sign U+0001 of the text itself counts as a space."""
     text = F.translate(text, "\u0001", " ")
     quick = F.when(text.rlike(r"\p{N}|[\p{L}\p{N},;:] \p{Lu}\p{Ll}"), marked(text)).otherwise(text)
-    found = F.regexp_extract_all(quick, F.lit("(?:\u0001[nup])?+(?:\\p{N}+(?:[.,]\\p{N}+)*+|\\p{L}[\\p{L}\\p{M}]*+)"), F.lit(0))
+    return F.regexp_extract_all(quick, F.lit("(?:\u0001[nup])?+(?:\\p{N}+(?:[.,]\\p{N}+)*+|\\p{L}[\\p{L}\\p{M}]*+)"), F.lit(0))
+
+
+def canonical(found: Column) -> Column:
     return F.transform(found, lambda x: F.when(x.startswith("\u0001"), F.concat(F.lit("#"), F.substring(x, 2, 1))).otherwise(F.lower(x)))
 
 
-def window_hashes(canon: Column, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(canon) - width), lambda i: F.xxhash64(F.slice(canon, i + 1, width)))
+def told(found: Column) -> Column:
+    """The lower-cased tokens as they stand in the text."""
+    return F.transform(found, lambda x: F.lower(F.when(x.startswith("\u0001"), F.substring(x, 3, (1 << 31) - 1)).otherwise(x)))
+
+
+def window_hashes(words: Column, width: int) -> Column:
+    each = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(F.slice(words, i + 1, width)))
+    return F.when(F.size(words) >= width, each).otherwise(F.array().cast("array<long>"))
+
+
+def document_windows(texts: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc_id, said, size, at, hash): of each row the hashes of its canonical windows of each width, and those of its plain windows.
+
+    ``at`` runs over width after width, first canonical windows, then plain ones; a plain one that equals the canonical one is null.
+    """
+    rows = texts.select("doc_id", "said", found_tokens(F.col("text")).alias("found"))
+    rows = rows.select("doc_id", "said", F.size("found").alias("size"), canonical(F.col("found")).alias("c"), told(F.col("found")).alias("s"))
+    made = [window_hashes(F.col(c), w).alias(f"{c}{w}") for w in widths for c in ("c", "s")]
+    rows = rows.select("doc_id", "said", "size", *made)
+    other = lambda w: F.zip_with(f"c{w}", f"s{w}", lambda x, y: F.when(x != y, y))
+    rows = rows.select("doc_id", "said", "size", F.concat(*[x for w in widths for x in (F.col(f"c{w}"), other(w))]).alias("hashes"))
+    # the outer form keeps Catalyst from computing the tokens a second time in a filter
+    return rows.select("doc_id", "said", "size", F.posexplode_outer("hashes").alias("at", "hash"))
+
+
+def place(at: Column, size: Column, widths: list[int]) -> Column:
+    """The first token of the window ``at`` of ``document_windows``."""
+    out, before = None, F.lit(0)
+    for w in widths:
+        n = F.greatest(size - w + 1, F.lit(0))
+        here, which = at < before + 2 * n, (at - before) % F.greatest(n, F.lit(1))
+        out = F.when(here, which) if out is None else out.when(here, which)
+        before = before + 2 * n
+    return out
 
 
 def item_windows(benchmark: DataFrame, p: Params) -> DataFrame:
@@ -60,15 +95,15 @@ def item_windows(benchmark: DataFrame, p: Params) -> DataFrame:
     ``form`` is canon or, for each of these windows, said: its lower-cased words. Windows without enough literals have no canon form.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    items = items.withColumns({"raw": tokens(F.col("text")), "canon": canonical(F.col("text"))}).where("size(canon) > 0")
+    items = items.withColumns({"raw": tokens(F.col("text")), "canon": canonical(found_tokens(F.col("text")))}).where("size(canon) > 0")
     items = items.withColumn("width", F.least(F.size("canon"), F.lit(p.width)))
     at = F.transform(F.sequence(F.lit(0), F.size("canon") - F.col("width")), lambda i: F.struct(i.alias("ipos"), F.slice("canon", i + 1, F.col("width")).alias("w")))
     literal = F.size(F.filter("w", lambda x: ~x.startswith("#")))
     rows = items.select("item_id", "raw", "canon", "width", F.explode(at).alias("x")).select("item_id", "raw", "canon", "width", F.col("x.ipos").alias("ipos"), F.col("x.w").alias("w"))
     rows = rows.withColumns({"plain": literal == F.col("width"), "enough": literal >= F.least(F.lit(p.literals), F.col("width"))})
     rows = rows.join(rows.groupBy("item_id").agg(F.max("enough").alias("some")), "item_id").where("enough or not some")
-    told = F.transform(F.slice("raw", F.col("ipos") + 1, F.col("width")), F.lower)
-    forms = F.array(F.struct(F.lit("canon").alias("form"), F.xxhash64("w").alias("hash"), F.col("plain")), F.struct(F.lit("said").alias("form"), F.xxhash64(told).alias("hash"), F.lit(True).alias("plain")))
+    plain = F.transform(F.slice("raw", F.col("ipos") + 1, F.col("width")), F.lower)
+    forms = F.array(F.struct(F.lit("canon").alias("form"), F.xxhash64("w").alias("hash"), F.col("plain")), F.struct(F.lit("said").alias("form"), F.xxhash64(plain).alias("hash"), F.lit(True).alias("plain")))
     rows = rows.select("item_id", "ipos", "width", "enough", "raw", "canon", F.explode(forms).alias("f")).where("enough or f.form = 'said'")
     rows = rows.select("item_id", "ipos", "f.hash", "f.form", "width", "f.plain", "raw", "canon")
     sizes = rows.groupBy("item_id").agg(F.countDistinct("ipos").alias("windows"))
@@ -76,44 +111,48 @@ def item_windows(benchmark: DataFrame, p: Params) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, item_id, matched, windows, coverage, slots, consistent): every document that holds a benchmark item.
+    """(doc_id, said, item_id, matched, windows, coverage, slots, consistent): every row that holds a benchmark item.
 
-    Null ids and texts hold nothing and are held by nothing, nor do texts without a word. Rows that repeat an id count
-    as one document. Items shorter than a window match as a whole. Either table may be empty.
+    ``said`` is a hash of the row's text: rows that repeat an id are judged one by one, equal rows once. An item is held
+    where its matches stand near each other, on diagonals that differ by less than its length; copies elsewhere in the
+    text neither help nor harm. Null ids and texts hold nothing and are held by nothing, nor do texts without a word.
+    Items shorter than a window match as a whole. Either table may be empty.
     """
     items = materialise(item_windows(benchmark, p), "items")
-    passes = sorted((r.form, r.width) for r in items.select("form", "width").distinct().collect())
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most p.width of them
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    made = {"canon": canonical(F.col("text")), "said": F.transform(tokens(F.col("text")), F.lower)}
-    hits = None
-    for form, width in passes:
-        keys = items.where((F.col("form") == form) & (F.col("width") == width)).select("hash", "item_id", "ipos", "plain")
-        keys = F.broadcast(keys) if small(keys, p.broadcast_rows) else keys
-        # the outer form and a condition inside the generator keep Catalyst from computing the tokens a second time in a filter
-        each = F.when(F.size("words") >= width, window_hashes(F.col("words"), width))
-        rows = texts.select("doc_id", made[form].alias("words")).select("doc_id", F.posexplode_outer(each).alias("pos", "hash"))
-        part = rows.join(keys, "hash").select("doc_id", "pos", "item_id", "ipos", "plain")
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = texts.sparkSession.createDataFrame([], "doc_id long, pos int, item_id long, ipos int, plain boolean")
-    hits = materialise(hits.withColumn("shift", F.col("pos") - F.col("ipos")), "hits")
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("matched"), F.countDistinct(F.when(F.col("plain"), F.col("ipos"))).alias("literal"))
-    pairs = pairs.join(items.groupBy("item_id").agg(F.first("windows").alias("windows")), "item_id").where(F.col("matched") >= F.lit(p.share) * F.col("windows"))
+    texts = texts.withColumn("said", F.xxhash64("text"))
+    row = ["doc_id", "said", "item_id"]
+    if not widths:
+        return texts.sparkSession.createDataFrame([], "doc_id long, said long, item_id long, matched long, windows long, coverage double, slots long, consistent boolean")
+    keys = items.select("hash", "item_id", "ipos", "plain")
+    keys = F.broadcast(keys) if small(keys, p.broadcast_rows) else keys
+    hits = document_windows(texts, widths).join(keys, "hash").withColumn("shift", place(F.col("at"), F.col("size"), widths) - F.col("ipos"))
+    hits = materialise(hits.select(*row, "ipos", "plain", "shift").distinct(), "hits")
+    about = items.groupBy("item_id").agg(F.first("windows").alias("windows"), F.first("canon").alias("canon"), F.first("raw").alias("raw"), F.first("width").alias("width"))
+    # two rows of clusters of diagonals, each twice as wide as the item and half a cluster apart: near diagonals meet in one
+    length = F.size("canon")
+    clusters = F.array(2 * F.floor(F.col("shift") / (2 * length)), 2 * F.floor((F.col("shift") + length) / (2 * length)) + 1)
+    spread = hits.join(about.select("item_id", "windows", length.alias("length"), "canon"), "item_id").select(*row, "ipos", "plain", "shift", "windows", F.explode(clusters).alias("cluster"))
+    least = F.lit(p.share) * F.col("windows")
+    pairs = spread.groupBy(*row, "cluster").agg(F.countDistinct("ipos").alias("matched"), F.first("windows").alias("windows")).where(F.col("matched") >= least)
     pairs = materialise(pairs, "pairs")
-    # slots of the pairs that are left, on every diagonal
-    reach = hits.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"]).groupBy("doc_id", "item_id", "shift").agg(F.min("ipos").alias("a"), F.max("ipos").alias("b"))
-    slots = items.groupBy("item_id").agg(F.first("canon").alias("canon"), F.first("raw").alias("raw"), F.first("width").alias("width"))
-    slots = slots.select("item_id", "width", F.posexplode(F.arrays_zip("canon", "raw")).alias("t", "x")).where(F.col("x.canon").startswith("#")).select("item_id", "width", "t", F.col("x.canon").alias("kind"), F.lower("x.raw").alias("said"))
-    own = semi(texts, pairs.select("doc_id").distinct(), "doc_id").select("doc_id", tokens(F.col("text")).alias("raw"))
-    met = reach.join(slots, "item_id").where("t >= a and t < b + width").join(own, "doc_id")
+    near = materialise(spread.drop("windows").join(pairs.select(*row, "cluster"), [*row, "cluster"]), "near")
+    # slots of what is left, on every diagonal: do they stand for the same values throughout?
+    reach = near.groupBy(*row, "shift").agg(F.min("ipos").alias("a"), F.max("ipos").alias("b"))
+    slots = about.select("item_id", "width", F.posexplode(F.arrays_zip("canon", "raw")).alias("t", "x")).where(F.col("x.canon").startswith("#")).select("item_id", "width", "t", F.col("x.canon").alias("kind"), F.lower("x.raw").alias("told"))
+    own = semi(texts, pairs.select("doc_id").distinct(), "doc_id").join(pairs.select("doc_id", "said").distinct(), ["doc_id", "said"], "left_semi")
+    own = own.select("doc_id", "said", tokens(F.col("text")).alias("raw")).dropDuplicates(["doc_id", "said"])
+    met = reach.join(slots, "item_id").where("t >= a and t < b + width").join(own, ["doc_id", "said"])
     met = met.withColumn("heard", F.lower(F.get("raw", F.col("t") + F.col("shift")))).where("heard is not null")
-    maps = met.groupBy("doc_id", "item_id", "shift", "kind", "said").agg(F.countDistinct("heard").alias("n")).groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("slots"), F.max("n").alias("n"))
-    maps = materialise(maps, "diagonals")
-    # matches on diagonals that hold other values in one slot don't count, those on others do
-    good = semi(hits, pairs.select("doc_id").distinct(), "doc_id").join(maps.where("n > 1").select("doc_id", "item_id", "shift"), ["doc_id", "item_id", "shift"], "left_anti")
-    good = good.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("good"))
-    slots = maps.groupBy("doc_id", "item_id").agg(F.sum("slots").alias("slots"))
-    out = pairs.join(slots, ["doc_id", "item_id"], "left").join(good, ["doc_id", "item_id"], "left")
-    least = F.lit(p.share) * F.col("windows")
-    out = out.select("doc_id", "item_id", "matched", "literal", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), (F.coalesce("good", F.lit(0)) >= least).alias("consistent"))
-    return out.where(F.col("consistent") | (F.col("literal") >= least)).drop("literal")
+    maps = met.groupBy(*row, "shift", "kind", "told").agg(F.countDistinct("heard").alias("n")).groupBy(*row, "shift").agg(F.count("*").alias("slots"), F.max("n").alias("n"))
+    judged = near.join(materialise(maps, "diagonals"), [*row, "shift"], "left").withColumn("even", F.coalesce(F.col("n") == 1, F.lit(True)))
+    # on a diagonal that holds other values in one slot, matches that rest on slots don't count
+    good = judged.groupBy(*row, "cluster").agg(
+        F.countDistinct(F.when(F.col("even") | F.col("plain"), F.col("ipos"))).alias("good"),
+        F.countDistinct(F.when(F.col("even"), F.col("ipos"))).alias("even"),
+        F.max(F.coalesce("slots", F.lit(0))).alias("slots"),
+    )
+    out = pairs.join(good, [*row, "cluster"]).where(F.col("good") >= least).withColumn("consistent", F.col("even") >= least)
+    out = out.groupBy(*row).agg(F.max("matched").alias("matched"), F.first("windows").alias("windows"), F.max("slots").cast("long").alias("slots"), F.max("consistent").alias("consistent"))
+    return out.select(*row, "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), "slots", "consistent")

@@ -385,6 +385,21 @@ def test_decontamination_diagonals(spark):
     assert {r.doc_id for r in found} == {1, 3, 4}
 
 
+def test_decontamination_rows(spark):
+    """Rows of one id are judged one by one; parts of an item scattered over a long text don't add up; short and long items together."""
+    ask = "A train that leaves {a} at noon covers {n} km in {m} hours; how far does the train from {a} get after {m} hours at {n} km an hour"
+    own, copy = ask.format(a="Paris", n=120, m=3), ask.format(a="Lyon", n=95, m=7)
+    odd_values = copy.replace("95", "94", 1).replace("Lyon", "Nice", 1).replace("7", "8", 1)
+    filler = " ".join(f"filler{k}" for k in range(80))
+    parts = f"A train that leaves Rome at noon covers {filler} how far does the train from Rome get {filler} in 3 hours; how far does the train from {filler} covers 120 km in 3 hours; how far"
+    rows = [(1, f"{copy}. {odd_values}."), (2, own), (2, "Quite another text stands here."), (2, own), (3, parts), (4, f"{odd_values}. {copy}."), (5, f"{filler} one more short thing {filler}")]
+    items = spark.createDataFrame([(1, own), (2, "one more short thing")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, item_id string, shift int")
+    found = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (2, 1), (4, 1), (5, 2)]
+    assert {r.said for r in found if r.doc_id == 2} == {r[0] for r in docs.where("doc_id = 2 and text like 'A train%'").select(F.xxhash64("text")).collect()}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs
