@@ -1,8 +1,9 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, and calibrated rejection.
 
 A text is the mean of the embeddings of its hashed byte 3- and 4-grams. Embeddings and softmax are trained by stochastic
-gradient descent in numpy on a bounded sample of labelled rows (``Params.rows``; of each sampled text ``Params.grams``
-n-grams at even distances over the whole text). As the softmax is linear, embeddings are folded into one score per n-gram and language,
+gradient descent in numpy on a bounded sample of labelled rows: about ``Params.rows``, dealt evenly to the languages, so
+that rare ones are learned too (of a label with more than ``Params.langs`` values the most frequent). Of each sampled text
+all n-grams count. As the softmax is linear, embeddings are folded into one score per n-gram and language,
 and a whole text is scored by gathering and summing. On a fifth of the sample a temperature is fitted, and the
 confidence from which on accepted predictions are right ``Params.precision`` of the time.
 """
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panoquery.llm.common import buffers, slices, small_batches
@@ -26,7 +27,7 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Params:
     rows: int = 6000
-    grams: int = 256
+    langs: int = 300
     dim: int = 16
     epochs: int = 6
     rate: float = 4.0
@@ -87,10 +88,28 @@ def trainable(df: DataFrame, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) != 1
 
 
-def sampled(rows: DataFrame, p: Params) -> list[tuple[str, np.ndarray]]:
-    """(lang, n-grams) of at most p.rows rows, chosen by a hash of the id."""
-    total = rows.count()
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 20)) < int(min(1.0, 1.2 * p.rows / max(1, total)) * (1 << 20))).limit(p.rows)
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many rows of each language to learn from: evenly, and what small ones lack goes to the others."""
+    out, left = {}, rows
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
+def sampled(rows: DataFrame, p: Params) -> list[tuple[str, Counts]]:
+    """(lang, distinct n-grams and their counts) of about p.rows rows, chosen by a hash of id and text."""
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.langs).collect()}
+    if not counts:
+        return []
+    chance, spark = F.pmod(F.xxhash64("doc_id", "text", F.lit(p.seed)), F.lit(1 << 40)), rows.sparkSession
+    wanted = [(lang, n, int(min(1.0, (1.5 * n + 20) / counts[lang]) * (1 << 40))) for lang, n in quotas(counts, p.rows).items()]
+    some = rows.join(F.broadcast(spark.createDataFrame(wanted, "lang string, quota long, share long")), "lang").withColumn("chance", chance).where("chance < share")
+    order = Window.partitionBy("lang").orderBy("chance", "doc_id")  # at most half more than a quota, but for copies of one row
+    some = some.withColumn("k", F.row_number().over(order)).where("k <= quota").select("text", "lang")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -100,19 +119,23 @@ def sampled(rows: DataFrame, p: Params) -> list[tuple[str, np.ndarray]]:
                 with np.errstate(over="ignore"):
                     buckets, inside = grams(data, offsets)
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                if b - a < 3:
-                    out.append(b"")
-                    continue
-                at = np.unique(np.linspace(a, b - 4 if b - a > 3 else a, p.grams // 2).astype(np.int64))
-                own = [h[at][inside[at] > k] for k, h in enumerate(buckets)]
-                out.append(np.concatenate(own).astype("<u2").tobytes())
+                own = [h[a:b][inside[a:b] > k] for k, h in enumerate(buckets)] if b > a else [np.zeros(0, np.uint16)]
+                ids, times = np.unique(np.concatenate(own), return_counts=True)
+                out.append(np.concatenate([ids.astype("<u4"), times.astype("<u4")]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.binary())], ["lang", "grams"])
 
-    got = some.select("text", "lang").mapInArrow(features, "lang string, grams binary").toArrow()
-    return [(lang, np.frombuffer(x, "<u2")) for lang, x in zip(got.column("lang").to_pylist(), got.column("grams").to_pylist(), strict=True) if x]
+    got = some.mapInArrow(features, "lang string, grams binary").toArrow()
+    made = [(lang, np.frombuffer(bytes(x), "<u4").reshape(2, -1)) for lang, x in zip(got.column("lang").to_pylist(), got.column("grams").to_pylist(), strict=True) if x]
+    return sorted(((lang, (x[0], x[1].astype(np.float32) / x[1].sum())) for lang, x in made), key=lambda r: (r[0], len(r[1][0]), r[1][0].tobytes(), r[1][1].tobytes()))
+
+
+def means(table: np.ndarray, own: list[Counts]) -> np.ndarray:
+    """For each text the mean row of ``table`` over its n-grams."""
+    n = np.array([len(ids) for ids, _ in own])
+    return np.add.reduceat(table[np.concatenate([ids for ids, _ in own])] * np.concatenate([w for _, w in own])[:, None], np.cumsum(n) - n, axis=0)
 
 
-def train(sample: list[tuple[str, np.ndarray]], p: Params) -> Model | None:
+def train(sample: list[tuple[str, Counts]], p: Params) -> Model | None:
     langs = sorted({lang for lang, _ in sample})
     if not langs:
         return None
@@ -128,19 +151,19 @@ def train(sample: list[tuple[str, np.ndarray]], p: Params) -> Model | None:
         order = rng.permutation(fit)
         for k in range(0, len(order), p.batch):
             own = order[k : k + p.batch]
-            ids = np.concatenate([sample[i][1] for i in own])
-            n = np.array([len(sample[i][1]) for i in own])
-            mean = np.add.reduceat(emb[ids], np.cumsum(n) - n, axis=0) / n[:, None]
+            counts = [sample[i][1] for i in own]
+            mean = means(emb, counts)
             g = softmax(mean @ w + bias)
             g[np.arange(len(own)), label[own]] -= 1
+            back = rate * (g @ w.T)
             g /= len(own)
-            back = (g @ w.T) / n[:, None]
             w -= rate * (mean.T @ g)
             bias -= rate * g.sum(0)
-            np.subtract.at(emb, ids, np.repeat(rate * len(own) * back, n, axis=0).astype(np.float32))
+            for (ids, share), row in zip(counts, back, strict=True):  # the ids of one text are distinct
+                emb[ids] -= share[:, None] * row
     scores = (emb @ w).astype(np.float32)
     check = np.arange(held) if held else fit
-    logits = np.array([scores[sample[i][1]].mean(0) for i in check]) + bias
+    logits = means(scores, [sample[i][1] for i in check]) + bias
     best = min((0.25 * 1.25**j for j in range(20)), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(check)), label[check]] + 1e-12).mean())
     sure = softmax(logits / best)
     right, top = sure.argmax(1) == label[check], sure.max(1)

@@ -201,6 +201,16 @@ def test_language(spark, odd, none):
     assert language.fit(none) is None and {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
 
 
+def test_language_rare(spark):
+    """A language of a few rows among many is learned; quotas are even and no larger than what there is."""
+    assert language.quotas({"a": 5, "b": 100, "c": 1000}, 300) == {"a": 5, "b": 100, "c": 195}
+    rows = [(i, f"the house of the {i} friends stands near the river and the old road", "en", 1) for i in range(400)]
+    rows += [(1000 + i, f"talo {i} seisoo joen varrella vanhan tien vieressä yhdessä ystävien kanssa", "fi", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quota int")
+    got = language.identify(docs, language.fit(docs, language.Params(rows=60))).collect()
+    assert {(r.doc_id >= 1000, r.lang_pred) for r in got} == {(False, "en"), (True, "fi")}
+
+
 def test_toxicity(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in queries.op9_toxicity(spark, sf).collect()}
