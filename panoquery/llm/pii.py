@@ -1,9 +1,11 @@
 """Personal data: fixed kinds by pattern, and terms that reveal them by corpus co-occurrence; DataFrame operations only.
 
-The values of the base kinds (email, ip, card, phone) are protected entities. Terms near a mention of an entity are
-counted with it, once per distinct text; how often they occur at all is counted over the whole corpus. A term reveals an
-entity when P(entity | term) and the pointwise mutual information reach the thresholds. Such terms, where they stand near
-the entity they reveal, become spans of kind ``term``: generalised, or removed when they reveal it almost surely.
+Protected entities are the base kinds (email, ip, card, phone: that a text holds one) and the values that stand in at least
+``Params.support`` texts. Over whole texts of the whole corpus, each distinct text once, it is counted in how many texts
+a term stands, and in how many of these an entity stands too. A term reveals an entity when P(entity | term) and the
+pointwise mutual information reach the thresholds. Wherever such a term stands, in a text with the entity or without, it
+becomes a span of kind ``term``: generalised, or removed when it reveals the entity almost surely. Terms inside base spans
+don't count.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panoquery.llm.common import materialise, semi
+from panoquery.llm.common import materialise, semi, small
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns; possessive and anchored forms that match the same spans in linear time.
@@ -25,24 +27,24 @@ PATTERNS = {
 }
 SIGN = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"(?<![\p{L}\p{M}\p{N}])\p{L}{3,}+(?![\p{L}\p{M}\p{N}])"
+BEFORE, AFTER = r"(?<![\p{L}\p{M}\p{N}])", r"(?![\p{L}\p{M}\p{N}])"
+TERM = BEFORE + r"\p{L}{3,}+" + AFTER
 
 
 @dataclass(frozen=True)
 class Params:
-    reach: int = 48
     support: int = 3
     share: float = 0.5
-    bits: float = 6.0
+    bits: float = 2.0
     surely: float = 0.9
     broadcast_rows: int = 200_000
 
 
-def located(text: Column, pattern: str, kind: str, place: int) -> Column:
+def located(text: Column, pattern: str | Column, kind: str, place: int) -> Column:
     """Spans of all matches: array of (start, place, finish, kind, value), in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    none = F.array().cast("array<struct<start:int,place:int,finish:int,kind:string,value:string>>")
     pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))  # one gap more than matches
 
     def step(acc: Column, x: Column) -> Column:
@@ -51,9 +53,9 @@ def located(text: Column, pattern: str, kind: str, place: int) -> Column:
         one = F.struct(start.alias("start"), F.lit(place).alias("place"), finish.alias("finish"), F.lit(kind).alias("kind"), x["m"].alias("value"))
         return F.struct(finish.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    made = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    made = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), none().alias("out")), step, lambda acc: acc["out"])
     some = F.contains(text, F.lit(SIGN[kind])) if SIGN.get(kind) else F.lit(True)
-    return F.when(some & text.rlike(pattern), made).otherwise(none)
+    return F.when(some & F.regexp_like(text, pattern), made).otherwise(none())
 
 
 def luhn(digits: Column) -> Column:
@@ -87,38 +89,70 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["finish"].cast("string"))), ",")
 
 
-def contexts(found: DataFrame, p: Params) -> DataFrame:
-    """(row, entity, term, start, finish): words within p.reach code points of a mention, outside all base spans."""
-    each = found.select("row", "text", "spans", F.explode("spans").alias("s"))
-    begin = F.greatest(F.col("s.start") - p.reach, F.lit(0))
-    length = F.col("s.finish") + p.reach - begin
-    part = F.substring("text", begin + 1, length)
-    # words that the cut may have shortened are left out: the cut ends count as word characters
-    part = F.concat(F.when(begin > 0, F.lit("x")).otherwise(F.lit("")), part, F.when(begin + length < F.length("text"), F.lit("x")).otherwise(F.lit("")))
-    each = each.select("row", "spans", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), (begin - F.when(begin > 0, 1).otherwise(0)).alias("base"), F.length("text").alias("size"), (begin + length).alias("stop"), part.alias("part"))
-    terms = each.select("row", "spans", "entity", "base", "size", "stop", F.explode(located(F.col("part"), TERM, "term", len(KINDS))).alias("t"))
-    terms = terms.select("row", "spans", "entity", F.lower("t.value").alias("term"), (F.col("base") + F.col("t.start")).alias("start"), (F.col("base") + F.col("t.finish")).alias("finish"), "stop", "size", "base")
-    whole = ((F.col("start") > F.col("base")) | (F.col("base") <= 0)) & ((F.col("finish") <= F.col("stop")) | (F.col("stop") >= F.col("size")))
-    clear = ~F.exists("spans", lambda x: (x["start"] < F.col("finish")) & (F.col("start") < x["finish"]))
-    return terms.where(whole & clear).select("row", "entity", "term", "start", "finish").distinct()
-
-
-def disclosing(docs: DataFrame, seen: DataFrame, p: Params) -> DataFrame:
-    """(entity, term, share, bits): terms that reveal an entity beyond the thresholds; documents count once per distinct text."""
-    both = seen.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= p.support)
-    # a term is in no fewer texts than it is near entities in, so terms that are common there can't reach the share
-    near = seen.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("near"))
-    both = materialise(both.join(near, "term").where(F.col("both") / F.col("near") >= p.share).drop("near"), "cooccurrence")
-    terms = both.select("term").distinct()
-    if terms.isEmpty():
-        return both.select("entity", "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
-    words = docs.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counted = semi(words, terms, "term", p.broadcast_rows).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.approx_count_distinct("row").alias("n")).first().n
-    entities = seen.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    share, bits = F.col("both") / F.col("n_term"), F.log2(F.col("both") * F.lit(float(max(1, total))) / (F.col("n_term") * F.col("n_entity")))
-    scored = both.join(counted, "term").join(entities, "entity").select("entity", "term", share.alias("share"), bits.alias("bits"))
-    return scored.where((F.col("share") >= p.share) & (F.col("bits") >= p.bits))
+def terms(text: Column, spans: Column) -> Column:
+    """The distinct lower-cased terms of a text outside its base spans."""
+
+    def step(acc: Column, x: Column) -> Column:
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.lit("\u0001"))
+        return F.struct(F.greatest(acc["at"], x["finish"]).alias("at"), out.alias("out"))
+
+    # a span counts as a sign that is no letter, so that what stands on its two sides makes no term
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clear = F.when(F.size(spans) > 0, rest).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(clear), F.lit(TERM), F.lit(0)))
+
+
+def once(held: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
+    """``rows`` (doc_id, row, ...) with each distinct text once, but for equal rows of one doc_id."""
+    copies = held.groupBy("row").agg(F.count("*").alias("n"), F.min("doc_id").alias("own")).where("n > 1").select("row", "own")
+    copies = materialise(copies, "copies")
+    copies = F.broadcast(copies) if small(copies, p.broadcast_rows) else copies
+    return rows.join(copies, "row", "left").where("own is null or doc_id = own").drop("own")
+
+
+def with_spans(held: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
+    """``rows`` with the base ``spans`` of their texts; most texts have none, so only those that have some are joined."""
+    own = materialise(held.where("size(spans) > 0").groupBy("row").agg(F.first("spans").alias("own")), "own")
+    own = F.broadcast(own) if small(own, p.broadcast_rows) else own
+    return rows.join(own, "row", "left").withColumn("spans", F.coalesce("own", none())).drop("own")
+
+
+def none() -> Column:
+    return F.array().cast("array<struct<start:int,place:int,finish:int,kind:string,value:string>>")
+
+
+def disclosing(held: DataFrame, picked: DataFrame, p: Params) -> DataFrame:
+    """(term, share): terms that reveal an entity beyond the thresholds, with the largest P(entity | term).
+
+    ``held``: (doc_id, row, spans), ``picked``: (doc_id, row, text), of all rows.
+    """
+    which = [F.exists("spans", of_kind(k)).cast("long").alias(k) for k in KINDS]
+    texts = with_spans(held, once(held, picked, p), p)
+    made = texts.select(*which, F.explode_outer(terms(F.col("text"), F.col("spans"))).alias("term")).where("term is not null")
+    counted = made.groupBy("term").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in KINDS])
+    some = once(held, held.select("doc_id", "row", "spans"), p)
+    total = some.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.exists("spans", of_kind(k)).cast("long")), F.lit(0)).alias(k) for k in KINDS]).first()
+    counted = materialise(counted.where(F.col("n") >= p.support), "terms")
+    bits = lambda both, n, entity: F.log2(both * F.lit(float(max(1, total.n))) / (n * entity))
+    kinds = [F.struct(F.col(k).alias("both"), F.lit(float(max(1, total[k]))).alias("entity")) for k in KINDS]
+    by_kind = counted.select("term", "n", F.explode(F.array(*kinds)).alias("x")).select("term", "n", "x.both", "x.entity")
+    # values that come back: their terms in all texts that hold them
+    values = some.select("row", F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))).alias("value"))
+    values = materialise(values.distinct(), "values")
+    often = materialise(values.groupBy("value").agg(F.count("*").alias("entity")).where(F.col("entity") >= p.support), "often")
+    rows = [by_kind]
+    if not often.isEmpty():
+        most = often.agg(F.max("entity")).first()[0] / p.share  # a more frequent term can't reach the share with any value
+        holders = values.join(often, "value").select("row", "value", "entity")
+        own = semi(picked, holders.select("row").distinct(), "row", p.broadcast_rows)
+        own = with_spans(held, once(held, own, p), p).select("row", F.explode(terms(F.col("text"), F.col("spans"))).alias("term"))
+        rare = counted.where(F.col("n") <= most).select("term", "n")
+        both = own.join(rare, "term").join(holders, "row").distinct().groupBy("term", "value").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("entity").alias("entity"))
+        rows.append(both.select("term", "n", "both", F.col("entity").cast("double").alias("entity")))
+    scored = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+    scored = scored.where((F.col("both") >= p.support) & (F.col("both") / F.col("n") >= p.share)).where(bits(F.col("both"), F.col("n"), F.col("entity")) >= p.bits)
+    return scored.groupBy("term").agg(F.max(F.col("both") / F.col("n")).alias("share"))
 
 
 def find(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -129,15 +163,25 @@ def find(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     held = materialise(picked.select("doc_id", "row", base_spans(F.col("text")).alias("spans")), "spans")
-    some = held.where("size(spans) > 0").groupBy("row").agg(F.first("spans").alias("spans"))
-    some = semi(picked.select("row", "text"), some.select("row"), "row").groupBy("row").agg(F.first("text").alias("text")).join(some, "row")
-    seen = materialise(contexts(some, p), "contexts")
-    risky = materialise(disclosing(picked, seen, p), "disclosing")
-    term = F.struct("start", F.lit(len(KINDS)).alias("place"), "finish", F.lit("term").alias("kind"), "value")
-    extra = seen.join(risky, ["entity", "term"]).groupBy("row", "start", "finish").agg(F.when(F.max("share") >= p.surely, F.lit("remove")).otherwise(F.lit("generalise")).alias("value"))
-    extra = extra.groupBy("row").agg(F.collect_list(term).alias("more"))
-    out = held.select("doc_id", "row", "spans").join(extra, "row", "left")
-    return out.select("doc_id", "row", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:int,place:int,finish:int,kind:string,value:string>>")))).alias("spans"))
+    risky = materialise(disclosing(held, picked, p), "disclosing")
+    if risky.isEmpty():
+        return held.select("doc_id", "row", F.col("spans").alias("base"), "spans")
+    words = picked.select("row", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = words.join(F.broadcast(risky) if small(risky, p.broadcast_rows) else risky, "term")
+    told = materialise(words.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("told")), "told")
+    texts = with_spans(held, picked.select("row", "text").join(F.broadcast(told) if small(told, p.broadcast_rows) else told, "row"), p)
+    # only the terms of the text's own list are looked for; a match whose lower case is another word is left out
+    pattern = F.concat(F.lit("(?iu)" + BEFORE + "(?:"), F.array_join(F.map_keys("told"), "|"), F.lit(")" + AFTER))
+    there = F.filter(located(F.col("text"), pattern, "term", len(KINDS)), lambda m: F.map_contains_key("told", F.lower(m["value"])) & ~F.exists("spans", lambda x: (x["start"] < m["finish"]) & (m["start"] < x["finish"])))
+    how = lambda m: F.when(F.element_at("told", F.lower(m["value"])) >= p.surely, F.lit("remove")).otherwise(F.lit("generalise")).alias("value")
+    more = F.transform(there, lambda m: F.struct(m["start"].alias("start"), m["place"].alias("place"), m["finish"].alias("finish"), m["kind"].alias("kind"), how(m)))
+    extra = texts.select("row", more.alias("more")).groupBy("row").agg(F.first("more").alias("more"))
+    out = held.join(extra, "row", "left")
+    return out.select("doc_id", "row", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("more", none()))).alias("spans"))
+
+
+def of_kind(kind: str):
+    return lambda x: x["kind"] == kind
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -302,16 +302,54 @@ def test_personal_data(spark, sf, none):
     assert pii.find(none).count() == 0
 
 
+def disclosing(docs, p):
+    """Terms that disclose, by plain counting over distinct texts: kinds, and values of enough texts."""
+    texts = {}
+    for _, t in docs:
+        t = t or ""
+        spans = [x.split(":") for x in base_spans(t).split(",") if x]
+        spans = [(k, int(a), int(b)) for k, a, b in spans]
+        words = {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < b for _, a, b in spans) and not (t[m.start() - 1 : m.start()].isdigit() or t[m.end() : m.end() + 1].isdigit())}
+        texts[t] = (words, {k for k, *_ in spans} | {f"{k}:{t[a:b].lower()}" for k, a, b in spans})
+    n, entity, both = {}, {}, {}
+    for words, held in texts.values():
+        for e in held:
+            entity[e] = entity.get(e, 0) + 1
+        for w in words:
+            n[w] = n.get(w, 0) + 1
+            for e in held:
+                both[w, e] = both.get((w, e), 0) + 1
+    out = {}
+    for (w, e), k in both.items():
+        enough = k >= p.support and (":" not in e or entity[e] >= p.support)
+        if enough and k / n[w] >= p.share and np.log2(k * len(texts) / (n[w] * entity[e])) >= p.bits:
+            out[w] = max(out.get(w, 0), k / n[w])
+    return {w: "remove" if s >= p.surely else "generalise" for w, s in out.items()}
+
+
 def test_disclosing_terms(spark):
+    rng = np.random.default_rng(8)
+    common = [f"{a}{b}" for a in ("mor", "lan", "tir", "gos") for b in ("dan", "vel", "uk", "eth", "ipp")]
     rows = [(i, f"Note {i}: the zanzibarian poet of {['spring', 'rain', 'night', 'light'][i]} writes from bob@x.org today, the usual way") for i in range(4)]
     rows += [(10 + i, f"the usual poet writes today the {i} note") for i in range(300)]
-    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, t in rows[:4]:
-        terms = {t[s.start : s.finish].lower(): s.value for s in found[i].spans if s.kind == "term"}
-        assert terms == {"zanzibarian": "remove"} or set(terms) == {"zanzibarian", "from", "way"}
-    assert all(not found[i].spans for i, _ in rows[4:])
-    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert "zanzibarian" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[4][1]
+    for i in range(200):  # values that come back, terms at any share, copies, nulls
+        own = " ".join(rng.choice(common, 6))
+        tail = ["", " call +1 (555) 123-4567 or amy@q.de", " at 10.0.0.1", f" amy@q.de, {common[i % 3]}amy"][int(rng.integers(0, 4))]
+        rows.append((1000 + i, f"{own}{tail} {own if i % 2 else ''}"))
+    rows += [(5000 + i, rows[2][1]) for i in range(40)] + [(6000, None), (6001, ""), (None, "an id is missing, amy@q.de")]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, row int, spans int")
+    want = disclosing(rows, pii.Params())
+    found = {(r.doc_id, r.row): r for r in pii.find(df).collect()}
+    by_id = {r.doc_id: r for r in found.values()}
+    assert want["zanzibarian"] == "remove" and len(want) > 5
+    for i, t in rows:
+        t = t or ""
+        terms = {(s.start, s.finish): s.value for s in by_id[i].spans if s.kind == "term"}
+        base = [(s.start, s.finish) for s in by_id[i].base]
+        free = lambda m, base=base: not any(a < m.end() and m.start() < b for a, b in base)
+        assert terms == {m.span(): want[m[0].lower()] for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in want and free(m)}
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "zanzibarian" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[4][1] and clean[6000] is None
 
 
 def cut(text):
