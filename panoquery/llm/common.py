@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+FOLD = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="panoquery-"))
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives the loss of executors.
+
+    With ``few``, for tables of a few short rows for each partition they come from, the files are fewer by FOLD (every
+    file that is made costs time, and every later task that reads one).
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    kept = df.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // FOLD)) if few else df
+    kept.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
@@ -122,11 +129,11 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a grouped minimum and an equi-join, until the edges stay the same;
     no group is ever collected. Each round is a table in the shared folder.
     """
-    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", few=True)
     seen = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or state[0] == 0:
             return edges
         seen = tuple(state)
-        edges = materialise(small_star(large_star(edges)), "edges")
+        edges = materialise(small_star(large_star(edges)), "edges", few=True)

@@ -118,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     text neither help nor harm. Null ids and texts hold nothing and are held by nothing, nor do texts without a word.
     Items shorter than a window match as a whole. Either table may be empty.
     """
-    items = materialise(item_windows(benchmark, p), "items")
+    items = materialise(item_windows(benchmark, p), "items", few=True)
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most p.width of them
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     texts = texts.withColumn("said", F.xxhash64("text"))
@@ -128,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     keys = items.select("hash", "item_id", "ipos", "plain")
     keys = F.broadcast(keys) if small(keys, p.broadcast_rows) else keys
     hits = document_windows(texts, widths).join(keys, "hash").withColumn("shift", place(F.col("at"), F.col("size"), widths) - F.col("ipos"))
-    hits = materialise(hits.select(*row, "ipos", "plain", "shift").distinct(), "hits")
+    hits = materialise(hits.select(*row, "ipos", "plain", "shift").distinct(), "hits", few=True)
     about = items.groupBy("item_id").agg(F.first("windows").alias("windows"), F.first("canon").alias("canon"), F.first("raw").alias("raw"), F.first("width").alias("width"))
     # two rows of clusters of diagonals, each twice as wide as the item and half a cluster apart: near diagonals meet in one
     length = F.size("canon")
@@ -136,8 +136,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     spread = hits.join(about.select("item_id", "windows", length.alias("length"), "canon"), "item_id").select(*row, "ipos", "plain", "shift", "windows", F.explode(clusters).alias("cluster"))
     least = F.lit(p.share) * F.col("windows")
     pairs = spread.groupBy(*row, "cluster").agg(F.countDistinct("ipos").alias("matched"), F.first("windows").alias("windows")).where(F.col("matched") >= least)
-    pairs = materialise(pairs, "pairs")
-    near = materialise(spread.drop("windows").join(pairs.select(*row, "cluster"), [*row, "cluster"]), "near")
+    pairs = materialise(pairs, "pairs", few=True)
+    near = materialise(spread.drop("windows").join(pairs.select(*row, "cluster"), [*row, "cluster"]), "near", few=True)
     # slots of what is left, on every diagonal: do they stand for the same values throughout?
     reach = near.groupBy(*row, "shift").agg(F.min("ipos").alias("a"), F.max("ipos").alias("b"))
     slots = about.select("item_id", "width", F.posexplode(F.arrays_zip("canon", "raw")).alias("t", "x")).where(F.col("x.canon").startswith("#")).select("item_id", "width", "t", F.col("x.canon").alias("kind"), F.lower("x.raw").alias("told"))
@@ -146,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     met = reach.join(slots, "item_id").where("t >= a and t < b + width").join(own, ["doc_id", "said"])
     met = met.withColumn("heard", F.lower(F.get("raw", F.col("t") + F.col("shift")))).where("heard is not null")
     maps = met.groupBy(*row, "shift", "kind", "told").agg(F.countDistinct("heard").alias("n")).groupBy(*row, "shift").agg(F.count("*").alias("slots"), F.max("n").alias("n"))
-    judged = near.join(materialise(maps, "diagonals"), [*row, "shift"], "left").withColumn("even", F.coalesce(F.col("n") == 1, F.lit(True)))
+    judged = near.join(materialise(maps, "diagonals", few=True), [*row, "shift"], "left").withColumn("even", F.coalesce(F.col("n") == 1, F.lit(True)))
     # on a diagonal that holds other values in one slot, matches that rest on slots don't count
     good = judged.groupBy(*row, "cluster").agg(
         F.countDistinct(F.when(F.col("even") | F.col("plain"), F.col("ipos"))).alias("good"),

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panoquery.llm.common import materialise, small
+from panoquery.llm.common import free, materialise, small
 
 
 LONG, PICK = 50, 24
@@ -55,8 +55,9 @@ def windows(docs: DataFrame, p: Params) -> DataFrame:
     )
     own = own.select("doc_id", "tag", F.when(F.size("h") >= 3, each).alias("w"))
     # the outer form keeps Catalyst from computing the lines a second time in a filter
-    rows = own.select("doc_id", "tag", "w", F.posexplode_outer("w").alias("pos", "hash")).where("hash is not null")
-    again = F.array_position("w", F.col("hash")) <= F.col("pos")
+    own = own.withColumn("some", F.size(F.array_distinct("w")) < F.size("w"))
+    rows = own.select("doc_id", "tag", "some", "w", F.posexplode_outer("w").alias("pos", "hash")).where("hash is not null")
+    again = F.col("some") & (F.array_position("w", F.col("hash")) <= F.col("pos"))
     return rows.select("hash", "doc_id", (F.shiftleft("tag", 32).bitwiseOR(F.when(again, F.lit(1 << 31)).otherwise(F.lit(0))).bitwiseOR(F.col("pos").cast("long"))).alias("place"))
 
 
@@ -136,27 +137,28 @@ def covered(found: DataFrame) -> DataFrame:
     return hits(found).select("doc_id", "tag", F.array_distinct(F.flatten(F.transform("starts", lambda x: F.array(x, x + 1, x + 2)))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows and columns of ``docs`` with repeated windows taken out of ``text``, and ``lines_removed``.
+def dedup_lines(docs: DataFrame, p: Params = Params(), counted: str | None = None) -> DataFrame:
+    """The rows and columns of ``docs`` with repeated windows taken out of ``text``, and how many lines went.
 
     The first occurrence is that of the smallest doc_id (null first), then the first line. Rows that share a doc_id are
     one place: they are not held against each other. Null, empty and shorter texts stay as they are, and so does every
-    text without a later occurrence. Of words that the second pass takes out, twelve count as a line, as does a rest of fewer. A column ``lines_removed`` of ``docs`` is replaced.
+    text without a later occurrence. Of words that the second pass takes out, twelve count as a line, as does a rest of
+    fewer. The count's column is ``counted``; by default ``lines_removed``, with "_" added while ``docs`` has such a column.
     """
+    counted = counted or free(docs, "lines_removed")[0]
+    id1, tag1, tag2, gone1, left1, starts1, words1, rest1 = free(docs, "_id", "_tag", "_tag2", "_gone", "_left", "_starts", "_words", "_rest")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     picked = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = materialise(covered(materialise(windows(picked, p), "windows")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone")), "gone")
-    first = docs.withColumns({"_id": key, "_tag": tag(F.col("text").cast("string"))}).join(sent(gone), ["_id", "_tag"], "left")
-    kept = F.array_join(F.filter(F.transform(lines(F.col("text"), p), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "")
-    first = first.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text").cast("string")).otherwise(kept))
-    left = first.select(F.col("_id").alias("doc_id"), F.col("_left").alias("text"))
-    met = materialise(meeting(materialise(picked_runs(left), "picked")), "met")
-    more = hits(materialise(long_runs(left, met), "runs")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag2"), F.col("starts").alias("_starts"))
-    more = sent(materialise(more, "repeated"))
-    out = first.withColumn("_tag2", tag(F.col("_left"))).join(more, ["_id", "_tag2"], "left")
-    out = out.withColumn("_words", F.when(F.col("_starts").isNotNull(), F.regexp_extract_all("_left", F.lit(r"\s*+\S++\s*+"), F.lit(0))))
-    out = out.withColumn("_rest", F.when(F.col("_starts").isNotNull(), without_runs(F.col("_words"), F.col("_starts"))))
-    text = F.when(F.col("_starts").isNotNull(), F.col("_rest.text")).when(F.col("_gone").isNotNull(), F.col("_left")).otherwise(F.col("text"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "lines_removed"]
-    count = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")) + F.coalesce(F.ceil(F.col("_rest.gone") / p.words), F.lit(0))
-    return out.select(*columns, count.cast("long").alias("lines_removed"))
+    gone = materialise(covered(materialise(windows(picked, p), "windows")).toDF(id1, tag1, gone1), "gone", few=True)
+    first = docs.withColumns({id1: key, tag1: tag(F.col("text").cast("string"))}).join(sent(gone), [id1, tag1], "left")
+    kept = F.array_join(F.filter(F.transform(lines(F.col("text"), p), lambda x, i: F.when(~F.array_contains(gone1, i), x)), lambda x: x.isNotNull()), "")
+    first = first.withColumn(left1, F.when(F.col(gone1).isNull(), F.col("text").cast("string")).otherwise(kept))
+    left = first.select(F.col(id1).alias("doc_id"), F.col(left1).alias("text"))
+    met = materialise(meeting(materialise(picked_runs(left), "picked")), "met", few=True)
+    more = sent(materialise(hits(materialise(long_runs(left, met), "runs")).toDF(id1, tag2, starts1), "repeated", few=True))
+    out = first.withColumn(tag2, tag(F.col(left1))).join(more, [id1, tag2], "left")
+    out = out.withColumn(words1, F.when(F.col(starts1).isNotNull(), F.regexp_extract_all(left1, F.lit(r"\s*+\S++\s*+"), F.lit(0))))
+    out = out.withColumn(rest1, F.when(F.col(starts1).isNotNull(), without_runs(F.col(words1), F.col(starts1))))
+    text = F.when(F.col(starts1).isNotNull(), F.col(rest1)["text"]).when(F.col(gone1).isNotNull(), F.col(left1)).otherwise(F.col("text"))
+    count = F.when(F.col(gone1).isNull(), 0).otherwise(F.size(gone1)) + F.coalesce(F.ceil(F.col(rest1)["gone"] / p.words), F.lit(0))
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], count.cast("long").alias(counted))

@@ -448,11 +448,11 @@ def remaining(classes: DataFrame, sets: DataFrame, tried: DataFrame, p: Params)
     members = materialise(dealt.mapInArrow(_blocks, "key long, prev long, first boolean, rep long, n long, g long, block long"), "blocks")
     # min and max say whether one value before the run, or one group, holds for a whole block
     about = [f(c).alias(c + k) for c in ("prev", "g", "n") for k, f in (("0", F.min), ("1", F.max))]
-    blocks = materialise(members.groupBy("key", "block").agg(F.count("*").alias("size"), F.max("first").alias("first"), *about), "sizes")
+    blocks = materialise(members.groupBy("key", "block").agg(F.count("*").alias("size"), F.max("first").alias("first"), *about), "sizes", few=True)
     few = members.join(blocks.where(F.col("size").between(2, FEW) & (F.col("g0") < F.col("g1"))).select("key", "block"), ["key", "block"], "left_semi")
     few = few.repartition(parts, "key", "block").sortWithinPartitions("key", "block").mapInArrow(_few, "a long, b long").distinct()
-    few = confirmed(materialise(few.join(tried, ["a", "b"], "left_anti"), "few"), classes, sets, p)
-    work = materialise(jobs_of(blocks, p), "jobs")
+    few = confirmed(materialise(few.join(tried, ["a", "b"], "left_anti"), "few", few=True), classes, sets, p)
+    work = materialise(jobs_of(blocks, p), "jobs", few=True)
     if work.isEmpty():
         return few
     # the host's members that may be as large as a guest, and all guests
@@ -461,7 +461,7 @@ def remaining(classes: DataFrame, sets: DataFrame, tried: DataFrame, p: Params)
     guests = work.select("key", F.explode("guests").alias("block"), "host", "part").where("block <> host").join(members, ["key", "block"])
     sent = host.unionByName(guests.withColumn("guest", F.lit(True)), allowMissingColumns=True).drop("n").join(sets.select("rep", "hashes"), "rep")
     sent = sent.repartition(parts, "key", "host", "part").sortWithinPartitions("key", "host", "part")
-    return few.unionByName(materialise(sent.mapInArrow(_compared(p), "a long, b long").distinct(), "compared"))
+    return few.unionByName(materialise(sent.mapInArrow(_compared(p), "a long, b long").distinct(), "compared", few=True))
 
 
 def jobs_of(blocks: DataFrame, p: Params) -> DataFrame:
@@ -496,8 +496,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, p: Params)
         out = out.join(own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
         return out.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent).select("a", "b", "sa", "sb")
 
-    likely = materialise(attached(pairs, classes, "sketch").mapInArrow(_estimate(p), "a long, b long"), "likely")
-    return materialise(attached(likely, sets, "hashes").mapInArrow(_exact(p), "a long, b long"), "links")
+    likely = materialise(attached(pairs, classes, "sketch").mapInArrow(_estimate(p), "a long, b long"), "likely", few=True)
+    return materialise(attached(likely, sets, "hashes").mapInArrow(_exact(p), "a long, b long"), "links", few=True)
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -517,12 +517,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # a class is known by its smallest document, or by a number of its own where one document has several texts
     classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id() if _repeats(classes) else F.col("doc_id")), "classes")
     pairs, several = overlaps(materialise(inverted(classes.withColumn("g", F.col("rep")), p), "lists"))
-    close = materialise(semi(classes, materialise(several, "several"), "rep"), "close")
+    close = materialise(semi(classes, materialise(several, "several", few=True), "rep"), "close")
     sets = materialise(full_sets(docs, close.select("doc_id", "k1", "k2", "n", "rep"), p), "sets")
     links, found, tried = None, None, None
     members = close.withColumn("g", F.col("rep"))
     while True:
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", few=True)
         new = confirmed(pairs, close, sets, p)
         tried = pairs if tried is None else tried.unionByName(pairs)
         more, before = new.count(), links.count() if links is not None else 0
@@ -537,7 +537,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
         found = components(links.unionByName(rest))
     joined = classes.join(found.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("k1", "k2", "n", F.col("doc_id").alias("class_id"), F.coalesce("root", "rep").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("class_id").alias("component"))
-    told = materialise(joined.join(lowest, "root").select("k1", "k2", "n", "class_id", "component", "root"), "components")
+    told = materialise(joined.join(lowest, "root").select("k1", "k2", "n", "class_id", "component", "root"), "components", few=True)
     out = held.select("doc_id", "said", "n", "k1", "k2").join(told, ["k1", "k2", "n"], "left")
     known = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias
     out = out.select("doc_id", "said", F.col("n").alias("n_shingles"), known("class_id")("class_id"), known("component")("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("group_id"))
@@ -551,13 +551,13 @@ def representatives(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     found = materialise(near_duplicates(docs, p).where("group_id is not null"), "found")
     chosen = found.where("kept").groupBy("group_id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "said")).alias("one"))
-    again = materialise(chosen.where("n > 1").select("group_id", "one.doc_id", "one.said"), "again")
+    again = materialise(chosen.where("n > 1").select("group_id", "one.doc_id", "one.said"), "again", few=True)
     gone = found.where("not kept").select("doc_id", "said")
     if not again.isEmpty():
         gone = gone.union(found.join(again.select("group_id"), "group_id", "left_semi").select("doc_id", "said"))
     key = free(docs, "_doc", "_said")
     rows = docs.withColumns(dict(zip(key, (F.col("doc_id").cast("long"), said(F.col("text").cast("string"))), strict=True)))
-    out = without(rows, materialise(gone.distinct().toDF(*key), "copies"), key)
+    out = without(rows, materialise(gone.distinct().toDF(*key), "copies", few=True), key)
     if not again.isEmpty():
         out = out.unionByName(semi(rows, again.select("doc_id", "said").toDF(*key), key).dropDuplicates(key))
     return out.select(*docs.columns)

@@ -105,15 +105,15 @@ def terms(text: Column, spans: Column) -> Column:
 
 def once(held: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
     """``rows`` (doc_id, row, ...) with each distinct text once, but for equal rows of one doc_id."""
-    copies = held.groupBy("row").agg(F.count("*").alias("n"), F.min("doc_id").alias("own")).where("n > 1").select("row", "own")
-    copies = materialise(copies, "copies")
+    copies = held.groupBy("row").agg(F.count("*").alias("n"), F.min("doc_id").alias("own")).where("n > 1").select("row", "own", few=True)
+    copies = materialise(copies, "copies", few=True)
     copies = F.broadcast(copies) if small(copies, p.broadcast_rows) else copies
     return rows.join(copies, "row", "left").where("own is null or doc_id = own").drop("own")
 
 
 def with_spans(held: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
     """``rows`` with the base ``spans`` of their texts; most texts have none, so only those that have some are joined."""
-    own = materialise(held.where("size(spans) > 0").groupBy("row").agg(F.first("spans").alias("own")), "own")
+    own = materialise(held.where("size(spans) > 0").groupBy("row").agg(F.first("spans").alias("own")), "own", few=True)
     own = F.broadcast(own) if small(own, p.broadcast_rows) else own
     return rows.join(own, "row", "left").withColumn("spans", F.coalesce("own", none())).drop("own")
 
@@ -139,8 +139,8 @@ def disclosing(held: DataFrame, picked: DataFrame, p: Params) -> DataFrame:
     by_kind = counted.select("term", "n", F.explode(F.array(*kinds)).alias("x")).select("term", "n", "x.both", "x.entity")
     # values that come back: their terms in all texts that hold them
     values = some.select("row", F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))).alias("value"))
-    values = materialise(values.distinct(), "values")
-    often = materialise(values.groupBy("value").agg(F.count("*").alias("entity")).where(F.col("entity") >= p.support), "often")
+    values = materialise(values.distinct(), "values", few=True)
+    often = materialise(values.groupBy("value").agg(F.count("*").alias("entity")).where(F.col("entity") >= p.support), "often", few=True)
     rows = [by_kind]
     if not often.isEmpty():
         most = often.agg(F.max("entity")).first()[0] / p.share  # a more frequent term can't reach the share with any value
@@ -163,12 +163,12 @@ def find(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     held = materialise(picked.select("doc_id", "row", base_spans(F.col("text")).alias("spans")), "spans")
-    risky = materialise(disclosing(held, picked, p), "disclosing")
+    risky = materialise(disclosing(held, picked, p), "disclosing", few=True)
     if risky.isEmpty():
         return held.select("doc_id", "row", F.col("spans").alias("base"), "spans")
     words = picked.select("row", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     words = words.join(F.broadcast(risky) if small(risky, p.broadcast_rows) else risky, "term")
-    told = materialise(words.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("told")), "told")
+    told = materialise(words.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("told")), "told", few=True)
     texts = with_spans(held, picked.select("row", "text").join(F.broadcast(told) if small(told, p.broadcast_rows) else told, "row"), p)
     # only the terms of the text's own list are looked for; a match whose lower case is another word is left out
     pattern = F.concat(F.lit("(?iu)" + BEFORE + "(?:"), F.array_join(F.map_keys("told"), "|"), F.lit(")" + AFTER))

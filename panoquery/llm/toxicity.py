@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panoquery.llm.common import materialise, small_batches, trim
+from panoquery.llm.common import free, materialise, small_batches, trim
 
 # Common insults of a few languages, second-person words, and signs that stand for letters.
 INSULTS = frozenset("idiot moron scum loser trash worthless disgusting stupid pathetic clown dumb fool imbecile garbage vermin idiota estúpido imbécil basura dummkopf trottel abschaum crétin abruti ordure".split())
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     known = trainable(labels)
     total = known.count()
     share = int(min(1.0, 1.2 * p.rows / max(1, total)) * (1 << 20))
-    some = materialise(known.where(F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 20)) < share).limit(p.rows), "labels")
+    some = materialise(known.where(F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 20)) < share).limit(p.rows), "labels", few=True)
     # at most p.rows rows by construction, so this side can be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
     texts = materialise(texts.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(p.seed + 1)), F.lit(10))), "labelled")
@@ -188,8 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` and ``toxicity``, 0 to 1, from the whole text alone; null and empty texts get that of no features."""
+def score(docs: DataFrame, model: Model, column: str | None = None) -> DataFrame:
+    """The columns of ``docs`` and the score, 0 to 1, from the whole text alone; null and empty texts get that of no features.
+
+    The score's column is ``column``; by default ``toxicity``, with "_" added while ``docs`` has such a column.
+    """
+    column = column or free(docs, "toxicity")[0]
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -200,4 +204,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.array(np.clip(np.interp(sigmoid(margin(m, x)), *m.knots), 0, 1))
 
     scored = F.arrow_udf(rows, "double")
-    return docs.withColumn("toxicity", scored(F.col("text").cast("string")))
+    return docs.withColumn(column, scored(F.col("text").cast("string")))

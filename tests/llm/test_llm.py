@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +28,11 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_twin(spark, sf, name):
+    assert oracle.rows(queries.QUERIES[name](spark, sf)) == oracle.twin(queries.ORACLE_SQL[name], sf)
+
+
 def texts(spark, sf):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
 
@@ -377,10 +383,19 @@ def test_line_dedup(spark, sf, odd, none):
         want[i] = ("".join(x for k, x in enumerate(parts) if k not in gone) if gone else t, len(gone))
     assert {r.doc_id: (r.text, r.lines_removed) for r in queries.op8_line_dedup(spark, sf).collect()} == want and sum(n for _, n in want.values()) > 0
     got = line_dedup.dedup_lines(odd)
-    assert got.columns.count("lines_removed") == 1 and got.count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
+    assert got.columns == [*odd.columns, "lines_removed_"] and {r.lines_removed for r in got.collect()} == {9} and got.count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
     assert {r.doc_id: r.text for r in got.collect() if r.doc_id in (1, 2, 3, 8)} == {1: None, 2: "", 3: " \n\t ", 8: "12345"}
 
 
+def test_clashing_columns(spark):
+    """Columns of the input keep their values whatever they are called."""
+    names = ["toxicity", "_id", "_tag", "_gone", "_left", "lines_removed"]
+    rows = [(i, f"one {i}. two of them. three lines of a passage that repeats. and the end.", 5.0, 7, 8, "g", "l", 9) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity double, _id int, _tag int, _gone string, _left string, lines_removed int")
+    for out in (toxicity.score(docs, toxicity.Model()), line_dedup.dedup_lines(docs)):
+        assert out.columns[:-1] == docs.columns and {tuple(r[n] for n in names) for r in out.collect()} == {(5.0, 7, 8, "g", "l", 9)}
+
+
 def test_line_dedup_any_place(spark):
     rng = np.random.default_rng(5)
     own = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**9, n))
