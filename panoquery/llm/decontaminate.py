@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panoquery.llm.common import materialise, semi, small
+from panoquery.llm.common import free, materialise, semi, small, without
 
 # Common units of measurement and money.
 UNITS = "mm|cm|m|km|inch|inches|feet|ft|miles|mg|g|kg|lb|lbs|oz|ml|l|s|sec|min|mins|h|hours|minutes|seconds|days|weeks|months|years|hz|khz|mhz|ghz|w|kw|v|kb|mb|gb|tb|percent|dollars|usd|euro|euros|eur|cents|km/h|mph|c|f"
@@ -156,3 +156,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     out = pairs.join(good, [*row, "cluster"]).where(F.col("good") >= least).withColumn("consistent", F.col("even") >= least)
     out = out.groupBy(*row).agg(F.max("matched").alias("matched"), F.first("windows").alias("windows"), F.max("slots").cast("long").alias("slots"), F.max("consistent").alias("consistent"))
     return out.select(*row, "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), "slots", "consistent")
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows and columns of ``docs`` that hold no benchmark item."""
+    key = free(docs, "_doc", "_said")
+    found = materialise(contaminated(docs, benchmark, p).select("doc_id", "said").distinct().toDF(*key), "leaks", few=True)
+    rows = docs.withColumns(dict(zip(key, (F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))), strict=True)))
+    return without(rows, found, key).select(*docs.columns)
