@@ -8,6 +8,8 @@ vision library; what is recovered from them is geometry.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
+from contextlib import nullcontext
 
 import numpy as np
 
@@ -214,15 +216,22 @@ def warped(image1: np.ndarray, image2: np.ndarray, h: np.ndarray, strips: int =
     return np.concatenate(out)
 
 
-def merged(base: np.ndarray, base_f: tuple, new: np.ndarray, new_f: tuple, seed: int, strips: int = 1) -> tuple[np.ndarray | None, str | None]:
-    """(canvas, None), or (None, why the pair can't be merged)."""
-    pairs = matches(base_f[1], new_f[1])
+def untimed(phase: str) -> nullcontext:
+    return nullcontext()
+
+
+def merged(base: np.ndarray, base_f: tuple, new: np.ndarray, new_f: tuple, seed: int, strips: int = 1, clock: Callable = untimed) -> tuple[np.ndarray | None, str | None]:
+    """(canvas, None), or (None, why the pair can't be merged). ``clock`` gives a context for each phase."""
+    with clock("match"):
+        pairs = matches(base_f[1], new_f[1])
     if len(pairs) < LEAST_MATCHES:
         return None, "too few matches"
-    h, inliers = robust(base_f[0][pairs[:, 0], :2].astype(float), new_f[0][pairs[:, 1], :2].astype(float), seed)
+    with clock("homo"):
+        h, inliers = robust(base_f[0][pairs[:, 0], :2].astype(float), new_f[0][pairs[:, 1], :2].astype(float), seed)
     if h is None or inliers < LEAST_INLIERS:
         return None, "too few inliers"
-    out = warped(base, new, h, strips)
+    with clock("warp"):
+        out = warped(base, new, h, strips)
     return (out, None) if out is not None else (None, "canvas refused")
 
 

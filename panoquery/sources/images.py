@@ -23,7 +23,7 @@ def same_path(c: str):
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
     """(origin, pos) of the images of a folder by path; contents are not read."""
-    paths = spark.read.format("binaryFile").load(folder).select(same_path("path").alias("origin"))
+    paths = spark.read.format("binaryFile").load(folder).select(same_path("path").alias("origin"))  # only names are read
     return path_positions(paths.where(suffix(F.col("origin")).isin(*SUFFIXES)))
 
 

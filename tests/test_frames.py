@@ -205,3 +205,69 @@ def test_csv_tables(spark, tmp_path):
     assert sorted((r.cores, r.phase, r.baseline_mean_s) for r in got.collect() if r.phase == "total") == [(2, "total", 4.0), (8, "total", 4.0)]
     assert got.where("phase = 'extract'").first().baseline_mean_s is None
     assert math.isclose(one(stats.aggregate_speedup(got.select("cores", F.col("baseline_mean_s").alias("base"), F.col("candidate_mean_s").alias("cand")), "cores").where("cores = 8"))[1], 4.0)
+
+
+def test_benchmark_driver(spark, tmp_path):
+    """Windows x pipelines x runs: failures stay in their window, tables read back as they were written."""
+    from panoquery.plans import benchmarks, mosaic, reports
+    from panoquery.sources import sinks, tables
+
+    def broken(nodes, win, clock):
+        if win == 1:
+            raise ValueError("no such window")
+        return benchmarks.tree_run(nodes, win, clock)
+
+    frames = mosaic.synthetic(spark, windows=2, size=3)
+    lone = spark.createDataFrame([("x", 100, 50, 0, 1, 1, b"abc")], "origin string, pos long, win_idx long, local_idx long, height int, width int, data binary")
+    pipelines = {k: benchmarks.PIPELINES[k] for k in ("sequential", "parallel")} | {"broken": broken}
+    benchmarks.timed_runs(frames.unionByName(lone), pipelines, n_runs=2, warm_ups=1).write.parquet(f"{tmp_path}/runs")
+    runs = spark.read.parquet(f"{tmp_path}/runs")
+    got = {(r.win_idx, r.pipeline, r.run): r for r in runs.collect()}
+    assert set(got) == {(w, p, k) for w in (0, 1) for p in pipelines for k in (0, 1)} - {(1, "broken", 0), (1, "broken", 1)} | {(1, "broken", -1)}
+    assert "no such window" in got[1, "broken", -1].error and [r.failed for r in benchmarks.failures(runs).collect()] == [1]
+    assert all(r.total >= r.extract + r.match + r.homo + r.warp + r.reext > 0 for k, r in got.items() if k[2] >= 0)
+    sinks.append_csv(benchmarks.timing_rows(runs), f"{tmp_path}/timing")
+    timing = tables.benchmark(spark, f"{tmp_path}/timing")
+    rows = {(r.window_idx, r.candidate, r.phase): r for r in timing.collect()}
+    assert set(rows) == {(w, c, p) for w, c in ((0, "parallel"), (0, "broken"), (1, "parallel")) for p in ("extract", "match", "homo", "warp", "reext", "total")}
+    one = rows[0, "parallel", "total"]
+    want = [np.mean([got[0, p, k].total for k in (0, 1)]) for p in ("sequential", "parallel")]
+    assert one.baseline_mean_s == pytest.approx(want[0], abs=1e-6) and one.speedup == pytest.approx(want[0] / want[1], abs=1e-4) and (one.img_start, one.img_end) == (0, 3)
+    found = benchmarks.differences(runs)
+    sinks.append_csv(benchmarks.correctness_rows(found), f"{tmp_path}/correct")
+    same = {(r.window_idx, r.candidate): r for r in tables.correctness(spark, f"{tmp_path}/correct").collect()}
+    assert set(same) == {(0, "parallel"), (0, "broken"), (1, "parallel")} and (same[0, "parallel"].verdict, same[0, "parallel"].psnr_db) == ("Bit-identical", "inf")
+    pivot = {r.strategy: r.total for r in reports.average_rows(timing).collect()}
+    assert set(pivot) == set(pipelines) and [r.candidate for r in reports.names(timing, timing).collect()] == ["broken", "parallel"]
+    totals = {r.pipeline: r for r in benchmarks.phase_totals(runs).collect()}
+    t = totals["parallel"]
+    assert t.stitch == pytest.approx(t.match + t.homo + t.warp + t.reext) and t.total == pytest.approx(sum(got[w, "parallel", k].total for w in (0, 1) for k in (0, 1)))
+
+
+def test_not_measured(spark):
+    from panoquery.plans import benchmarks
+
+    rows = [(0, 0, 4, 4, 100.0, p, k, 1.0 + k, None if p == "a" else 2.0, 1.0, 1.0, 1.0, 6.0 + k, None, None, None, None) for p in ("sequential", "a") for k in (0, 1)]
+    got = {r.phase: r for r in benchmarks.timing_rows(spark.createDataFrame(rows, benchmarks.RUNS)).collect()}
+    assert (got["match"].baseline_mean_s, got["match"].candidate_mean_s, got["match"].speedup) == ("2.0", "n/a", "n/a") and got["total"].speedup == "1.0"
+    shapes = spark.createDataFrame([(0, 0, 4, 4, 1.0, p, 0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, None, 1, w, bytes(3 * w)) for p, w in (("sequential", 1), ("a", 2))], benchmarks.RUNS)
+    row = benchmarks.correctness_rows(benchmarks.differences(shapes)).first()
+    assert (row.shape_match, row.verdict, row.psnr_db, row.max_pixel_diff) == (False, "Shape mismatch", None, None)
+    assert [r.pipeline for r in benchmarks.oversized(shapes.withColumn("mean_area", F.lit(0.15))).collect()] == ["a"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Files in, tables and files out: diagnosis, reordering, mosaics."""
+    from panoquery.__main__ import main
+    from panoquery.plans import mosaic
+    from panoquery.sources import sinks, tables
+
+    frames = mosaic.synthetic(spark, windows=1, size=4, height=192, width=256, step=96)
+    sinks.write_png(frames.select(F.format_string("f%02d.png", "pos").alias("name"), "height", "width", "data"), f"{tmp_path}/in")
+    main(["diagnose", f"{tmp_path}/in", "--out", f"{tmp_path}/out"], spark)
+    assert "WINDOW 0 [images 0:4] (4 images)" in capsys.readouterr().out
+    assert tables.summary(spark, f"{tmp_path}/out/window_diagnostics_summary").count() == 1 and tables.pairs(spark, f"{tmp_path}/out/window_diagnostics_pairs").count() == 6
+    main(["reorder", f"{tmp_path}/in", "--pairs", f"{tmp_path}/out/window_diagnostics_pairs", "--out", f"{tmp_path}/ordered"], spark)
+    assert sorted(p.name for p in (tmp_path / "ordered").iterdir()) == [f"{k:04d}.png" for k in range(4)]
+    main(["stitch", f"{tmp_path}/in", "--out", f"{tmp_path}/made"], spark)
+    assert [p.name for p in (tmp_path / "made").iterdir()] == ["window_0.png"]
