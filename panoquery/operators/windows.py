@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panoquery.functions.scalar import resolve
 
 
-def positions(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
-    """``df`` with ``pos``: 0, 1, ... by the integer column ``key`` (unique, not null).
+def positions(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``pos``: 0, 1, ... by the integer column ``key`` (unique; a null raises).
 
-    Rows are counted in ranges of the key; only the counts, at most ``buckets`` of them, meet in one task. The rows are
-    numbered inside their range.
+    Rows are counted in ranges of the key, cut at its quantiles so that far keys or gaps don't fill one range; only the
+    counts, at most ``buckets`` of them, meet in one task. The rows are numbered inside their range.
     """
-    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    width = F.expr(f"cast(ceil((_hi - _lo + 1) / {buckets}) as bigint)")
-    binned = df.join(F.broadcast(ends.select("_lo", width.alias("_w")))).withColumn("_bin", F.expr(f"({key} - _lo) div _w"))
+    n = buckets or max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(df.approxQuantile(key, [k / n for k in range(1, n)], 1 / (4 * n))))
+    known = df.withColumn(key, F.coalesce(F.col(key), F.raise_error(F.lit(f"null in {key}"))))
+    binned = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=key, outputCol="_bin").transform(known) if cuts else known.withColumn("_bin", F.lit(0.0))
     counts = binned.groupBy("_bin").agg(F.count("*").alias("_n"))
     counts = counts.select("_bin", (F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_bin").orderBy(key)) - 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panoquery.functions import scalar
 from panoquery.operators import folds, geometry, knn, pairs, pixels, stats, windows
-from panoquery.plans import mosaic
+from panoquery.plans import benchmarks, mosaic, reports
 from panoquery.streaming import ordered
 
 TAU = 0.04
@@ -115,6 +115,29 @@ def window_verdict(spark, sf):
     return pairs.verdicts(scored(spark, sf))
 
 
+RANGES = "rg AS (SELECT win_idx, min(pos) AS img_start, max(pos) + 1 AS img_end, count(*) AS n_frames FROM f GROUP BY win_idx HAVING count(*) >= 2)"
+
+
+def ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.window_ranges(frames(spark, sf).select("win_idx", "pos"))
+
+
+@query(
+    f"WITH {SCORED}, {RANGES} SELECT CAST(win_idx AS INTEGER) AS window_idx, CAST(img_start AS INTEGER) AS img_start, CAST(img_end AS INTEGER) AS img_end, CAST(i AS INTEGER) AS local_i, CAST(j AS INTEGER) AS local_j, "
+    "CAST(img_start + i AS INTEGER) AS global_i, CAST(img_start + j AS INTEGER) AS global_j, CAST(num_matches AS INTEGER) AS num_matches, CAST(num_inliers AS INTEGER) AS num_inliers, CASE WHEN passes THEN 'True' ELSE 'False' END AS passes_threshold FROM g JOIN rg USING (win_idx)"
+)
+def pair_table(spark, sf):
+    return reports.pair_rows(scored(spark, sf), ranges(spark, sf))
+
+
+@query(
+    f"WITH {VERDICTS}, {RANGES} SELECT CAST(win_idx AS INTEGER) AS window_idx, CAST(img_start AS INTEGER) AS img_start, CAST(img_end AS INTEGER) AS img_end, CAST(n_frames AS INTEGER) AS num_images, "
+    "CAST(total_pairs AS INTEGER) AS total_pairs, CAST(passing_pairs AS INTEGER) AS passing_pairs, verdict FROM w JOIN rg USING (win_idx)"
+)
+def summary_table(spark, sf):
+    return reports.summary_rows(scored(spark, sf), ranges(spark, sf))
+
+
 @query(f"WITH {VERDICTS} SELECT verdict, count(*) AS n_windows, string_agg(CAST(win_idx AS VARCHAR), ',' ORDER BY win_idx) AS windows FROM w GROUP BY verdict")
 def verdict_rollup(spark, sf):
     return pairs.rollup(pairs.verdicts(scored(spark, sf)))
@@ -338,3 +361,10 @@ def mosaic_windows(spark, sf):
     features = mosaic.extract(mosaic.synthetic(spark))
     out = [f(features).select(F.lit(name).alias("fold"), "win_idx", "height", "width", "n_frames", "n_merged") for name, f in (("linear", mosaic.linear), ("tree", mosaic.tree))]
     return out[0].unionByName(out[1])
+
+
+@query(None)
+def benchmark_verdicts(spark, sf):
+    """Mosaics of every pipeline of the benchmark driver held against the baseline's, on synthetic frames."""
+    runs = benchmarks.timed_runs(mosaic.synthetic(spark, windows=2, size=3), n_runs=1, warm_ups=0)
+    return benchmarks.differences(runs).select("win_idx", "pipeline", "shape_match", "max_pixel_diff", "verdict")

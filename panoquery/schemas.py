@@ -1,5 +1,6 @@
 """Row types of the engine: frames, keypoints, matches, and the CSV tables of diagnostics and benchmarks."""
 
+# Phase names, and names and order of the CSV columns, as the files have them.
 PHASES = ["extract", "match", "homo", "warp", "reext", "total"]
 KEYPOINT = "struct<x float, y float, size float, angle float, response float, octave int, class_id int>"
 FRAME = "origin string, pos long, win_idx long, local_idx long, height int, width int, data binary"

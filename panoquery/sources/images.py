@@ -33,8 +33,11 @@ def load(spark: SparkSession, folder: str, start: int | None = -4, end: int | No
     Positions and windows come from the sorted list of all files, so a file that can't be read leaves a gap (it is
     dropped after numbering) and never shifts its neighbours.
     """
-    wanted = windowed(sliced(listed(spark, folder), start, end).withColumn("pos", F.col("pos")), size)
-    read = spark.read.format("image").load(folder).select(same_path("image.origin").alias("origin"), "image.height", "image.width", "image.nChannels", "image.data").where("height > 0")
+    wanted = windowed(sliced(listed(spark, folder), start, end), size)
+    # the files of the slice alone are opened; their names are on the driver anyway, where Spark lists them
+    paths = [r.origin for r in wanted.select("origin").collect()]
+    plain = paths and not any(set(p) & set("[]{}*?\\,%") for p in paths)
+    read = spark.read.format("image").load(paths if plain else folder).select(same_path("image.origin").alias("origin"), "image.height", "image.width", "image.nChannels", "image.data").where("height > 0")
 
     def shrunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

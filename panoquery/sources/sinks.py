@@ -62,7 +62,7 @@ def append_csv(df: DataFrame, path: str, run_id: str | None = None) -> None:
     """Appends rows; with a run id, readers can take the last run and repeated appends of a run can be told."""
     from pyspark.sql import functions as F
 
-    out = df.withColumn("run_id", F.lit(run_id)) if run_id else df
+    out = df.withColumns({"run_id": F.lit(run_id), "written": F.current_timestamp()}) if run_id else df
     out.write.mode("append").option("header", True).csv(path)
 
 

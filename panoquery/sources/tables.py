@@ -10,14 +10,16 @@ from panoquery.schemas import BENCHMARK_CSV, CORRECTNESS_CSV, PAIRS_CSV, SUMMARY
 
 
 def latest(df: DataFrame) -> DataFrame:
-    """Rows of the last run where the table has a run_id, else all."""
+    """Rows of the last run where the table has a run_id, else all. The last is the one written last (``written``), then the largest id by length and text."""
     if "run_id" not in df.columns:
         return df
-    return df.join(F.broadcast(df.agg(F.max("run_id").alias("run_id"))), "run_id").drop("run_id")
+    order = F.struct(*([F.col("written")] if "written" in df.columns else []), F.length("run_id").alias("n"), F.col("run_id").alias("id"))
+    last = df.agg(F.max(order)["id"].alias("run_id"))
+    return df.join(F.broadcast(last), "run_id").drop("run_id", "written")
 
 
 def read(spark: SparkSession, path: str, schema, run_id: bool = False) -> DataFrame:
-    schema = f"{schema}, run_id string" if run_id else schema
+    schema = f"{schema}, run_id string, written timestamp" if run_id else schema
     return latest(spark.read.schema(schema).option("header", True).csv(path))
 
 

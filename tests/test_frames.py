@@ -271,3 +271,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert sorted(p.name for p in (tmp_path / "ordered").iterdir()) == [f"{k:04d}.png" for k in range(4)]
     main(["stitch", f"{tmp_path}/in", "--out", f"{tmp_path}/made"], spark)
     assert [p.name for p in (tmp_path / "made").iterdir()] == ["window_0.png"]
+
+
+def test_positions_of_far_keys(spark):
+    """One key far from the others doesn't put the rest into one range; a null raises."""
+    df = spark.createDataFrame([(k,) for k in [*range(0, 3000, 3), 10**15]], "id long")
+    got = {r.id: r.pos for r in windows.positions(df, "id").collect()}
+    assert got == {k: i for i, k in enumerate([*range(0, 3000, 3), 10**15])}
+    sizes = [r["count"] for r in windows.Bucketizer(splits=[-math.inf, *sorted(set(df.approxQuantile("id", [k / 16 for k in range(1, 16)], 1 / 64))), math.inf], inputCol="id", outputCol="b").transform(df).groupBy("b").count().collect()]
+    assert max(sizes) < 200
+    with pytest.raises(Exception, match="(?i)null|NaN"):
+        windows.positions(df.unionByName(spark.createDataFrame([(None,)], "id long")), "id").collect()
+
+
+def test_last_run(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0, 4, 4, 6, 2, "PARTIAL")], tables.SUMMARY_CSV)
+    for run in ("r10", "r9"):
+        sinks.append_csv(rows.withColumn("passing_pairs", F.lit(len(run))), f"{tmp_path}/s", run)
+    assert [r.passing_pairs for r in tables.read(spark, f"{tmp_path}/s", tables.SUMMARY_CSV, True).collect()] == [2]
+    assert [r.run for r in tables.latest(spark.createDataFrame([(1, "r9"), (2, "r10")], "run int, run_id string")).collect()] == [2]
