@@ -3,8 +3,9 @@
 A block is independent: its model starts empty. Its ids are cut into lanes of equal length that share the block's model;
 step t codes id t of every lane at once, then the model learns from all of them, so that encoder and decoder see the same
 model at each step. Order 2 (hash of the two ids before) and order 1 (the id before) each predict one id, with a
-confidence. What weight each order gets is learned per pair of confidences: the interval is divided into the order-2
-prediction's share, the order-1 prediction's share and the rest, and the rest is divided by adaptive order-0 frequencies.
+confidence; order 0 is the adaptive frequency of every id. An id's probability is the weighted sum of the three: each
+order's weight times what it gives that id. The weights are learned for each pair of confidences, from the share that each
+order had in the probability of the ids that came (expectation maximisation, one step an id).
 
 Intervals are kept as 64-bit ``low`` and ``range``; 32 bits go out when the range falls below 2**32 (a carryless coder: a
 range that straddles the border is cut at it).
@@ -17,10 +18,11 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"PQTB", 2
+MAGIC, VERSION = b"PQTB", 3
 HEADER = struct.Struct("<4sHIQIIII")  # magic, version, documents, ids, lanes, alphabet, crc of ids, bytes of the index
 U = np.uint64
-GATE_BITS, LITERAL_BITS, HASH_BITS = 16, 20, 20
+WEIGHT_BITS, LITERAL_BITS, HASH_BITS = 10, 20, 20
+TOTAL_BITS = WEIGHT_BITS + LITERAL_BITS
 LOW32, FULL32 = U(0xFFFFFFFF), U(1 << 32)
 CONF = 4
 ID = np.uint32
@@ -56,26 +58,56 @@ class Model:
             self.at = np.repeat(np.arange(self.alphabet, dtype=ID), freq)
 
     def weigh(self) -> None:
+        """The orders' weights for each pair of confidences; 0 for an order without a prediction there."""
         share = self.gate / self.gate.sum(1, keepdims=True)
-        freq = 1 + np.floor(share * ((1 << GATE_BITS) - 3)).astype(np.int64)
-        freq[:, 2] = (1 << GATE_BITS) - freq[:, 0] - freq[:, 1]
-        self.gate_freq = freq.astype(U).ravel()
-        self.gate_start = (np.cumsum(freq, 1) - freq).astype(U).ravel()
+        weight = 1 + np.floor(share * ((1 << WEIGHT_BITS) - 3)).astype(np.int64)
+        pair = np.arange(len(weight)) // 2
+        weight[pair // CONF == 0, 0] = 0
+        weight[pair % CONF == 0, 1] = 0
+        weight[:, 2] = (1 << WEIGHT_BITS) - weight[:, 0] - weight[:, 1]
+        self.weight = [np.ascontiguousarray(weight[:, k]).astype(U) for k in range(3)]
 
     def predict(self, before2: np.ndarray, before1: np.ndarray) -> None:
-        """Sets the predictions p2 and p1, their confidences c2 and c1, and ``base``, the place of their gate."""
+        """Sets the predictions p2 and p1, their confidences c2 and c1, ``base``, the place of their weights, and the weights."""
         self.slot = ((before2 * ID(40503) + before1) * ID(2654435761) >> ID(32 - HASH_BITS)).astype(np.intp)
         self.prev = before1.astype(np.intp)
         self.v2, self.v1 = self.table2.take(self.slot), self.table1.take(self.prev)
         self.p2, self.p1, self.c2, self.c1 = self.v2 >> CONF_BITS, self.v1 >> CONF_BITS, self.v2 & ID(CONF - 1), self.v1 & ID(CONF - 1)
-        self.base = (((self.c2 << CONF_BITS) + self.c1) * ID(6) + (self.p2 == self.p1) * ID(3)).astype(np.intp)
-
-    def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
-        """``at``: ``base`` plus the kind of each id."""
+        self.base = ((((self.c2 << CONF_BITS) + self.c1) << ID(1)) + (self.p2 == self.p1)).astype(np.intp)
+        self.w2, self.w1, self.w0 = (w.take(self.base) for w in self.weight)
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each id's share of 2**TOTAL_BITS; keeps what each order gives it, for ``learn``."""
+        self.m2 = (self.w2 * (x == self.p2)) << U(LITERAL_BITS)
+        self.m1 = (self.w1 * (x == self.p1)) << U(LITERAL_BITS)
+        below = (self.w2 * (x > self.p2) + self.w1 * (x > self.p1)) << U(LITERAL_BITS)
+        self.size = self.w0 * self.freq.take(x) + self.m2 + self.m1
+        return self.w0 * self.start.take(x) + below, self.size
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose shares hold ``value``: those of order 0 with the two predictions' shares in between."""
+        first = self.p1 <= self.p2
+        a, b = np.where(first, self.p1, self.p2), np.where(first, self.p2, self.p1)
+        wa, wb = np.where(first, self.w1, self.w2) << U(LITERAL_BITS), np.where(first, self.w2, self.w1) << U(LITERAL_BITS)
+        same = a == b
+        wa, wb = np.where(same, wa + wb, wa), np.where(same, U(0), wb)
+        begin_a = self.w0 * self.start.take(a)
+        end_a = begin_a + self.w0 * self.freq.take(a) + wa
+        begin_b = self.w0 * self.start.take(b) + wa
+        end_b = begin_b + self.w0 * self.freq.take(b) + wb
+        shift = np.where(value < begin_a, U(0), np.where(value < begin_b, wa, wa + wb))
+        at = np.where(value >= shift, value - shift, U(0)) // self.w0
+        x = self.at.take(np.minimum(at, U((1 << LITERAL_BITS) - 1)).astype(np.intp))
+        x = np.where((value >= begin_b) & (value < end_b) & ~same, b, x)
+        return np.where((value >= begin_a) & (value < end_a), a, x)
+
+    def learn(self, ids: np.ndarray) -> None:
         new = (ids << CONF_BITS) + ID(1)
         for table, place, v, p, c in ((self.table2, self.slot, self.v2, self.p2, self.c2), (self.table1, self.prev, self.v1, self.p1, self.c1)):
             table[place] = np.where(p == ids, v + (c < CONF - 1), np.where(c <= 1, new, v - ID(1)))
-        self.gate += np.bincount(at, minlength=self.gate.size).reshape(self.gate.shape)
+        part2, part1 = self.m2 / self.size, self.m1 / self.size
+        for k, part in enumerate((part2, part1, 1 - part2 - part1)):
+            self.gate[:, k] += np.bincount(self.base, part, minlength=len(self.gate))
         self.weigh()
         self.fresh.append(ids)
         self.waiting += len(ids)
@@ -110,14 +142,10 @@ def encode(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
     words, used = np.zeros((2 * steps + 2, lanes), np.uint32), np.zeros(lanes, np.int64)
     before2 = before1 = np.full(lanes, alphabet, ID)
 
-    def put(which, start, freq, bits):
-        r = (span[which] if which is not None else span) >> U(bits)
-        if which is None:
-            np.add(low, r * start, out=low)
-            np.multiply(r, freq, out=span)
-        else:
-            low[which] += r * start
-            span[which] = r * freq
+    def put(start, freq):
+        r = span >> U(TOTAL_BITS)
+        np.add(low, r * start, out=low)
+        np.multiply(r, freq, out=span)
         out = settle(low, span)
         if len(out):
             words[used[out], out] = low[out] >> U(32)
@@ -133,14 +161,8 @@ def encode(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
             low, span, before2, before1, lanes = low[:active].copy(), span[:active].copy(), before2[:active], before1[:active], active
         x = table[t, :active]
         model.predict(before2, before1)
-        kind = np.where((x == model.p2) & (model.c2 > 0), 0, np.where((x == model.p1) & (model.c1 > 0), 1, 2))
-        at = model.base + kind
-        put(None, model.gate_start.take(at), model.gate_freq.take(at), GATE_BITS)
-        literal = np.flatnonzero(kind == 2)
-        if len(literal):
-            y = x[literal]
-            put(literal, model.start[y], model.freq[y], LITERAL_BITS)
-        model.learn(x, at)
+        put(*model.interval(x))
+        model.learn(x)
         before2, before1 = before1, x
     _flush(words, used, low, slice(0, lanes))
     return used.astype(np.uint32), words.T[np.arange(len(words))[None, :] < used[:, None]]
@@ -166,13 +188,9 @@ def decode(n: int, lanes: int, used: np.ndarray, words: np.ndarray, alphabet: in
     at = at + 2
     before2 = before1 = np.full(lanes, alphabet, ID)
 
-    def take(which, r, start, freq):
-        if which is None:
-            np.add(low, r * start, out=low)
-            np.multiply(r, freq, out=span)
-        else:
-            low[which] += r * start
-            span[which] = r * freq
+    def take(r, start, freq):
+        np.add(low, r * start, out=low)
+        np.multiply(r, freq, out=span)
         out = settle(low, span)
         if len(out):
             code[out] = code[out] << U(32) | words[np.minimum(at[out], len(words) - 1)]
@@ -185,19 +203,10 @@ def decode(n: int, lanes: int, used: np.ndarray, words: np.ndarray, alphabet: in
         if active < lanes:
             low, span, code, at, before2, before1, lanes = low[:active].copy(), span[:active].copy(), code[:active].copy(), at[:active].copy(), before2[:active], before1[:active], active
         model.predict(before2, before1)
-        r = span >> U(GATE_BITS)
-        value = np.minimum((code - low) // r, U((1 << GATE_BITS) - 1))
-        kind = (value >= model.gate_start.take(model.base + 1)).astype(np.intp) + (value >= model.gate_start.take(model.base + 2))
-        gate = model.base + kind
-        take(None, r, model.gate_start.take(gate), model.gate_freq.take(gate))
-        x = np.where(kind == 0, model.p2, model.p1)
-        literal = np.flatnonzero(kind == 2)
-        if len(literal):
-            r = span[literal] >> U(LITERAL_BITS)
-            y = model.at[np.minimum((code[literal] - low[literal]) // r, U((1 << LITERAL_BITS) - 1)).astype(np.int64)]
-            x[literal] = y
-            take(literal, r, model.start[y], model.freq[y])
-        model.learn(x, gate)
+        r = span >> U(TOTAL_BITS)
+        x = model.find(np.minimum((code - low) // r, U((1 << TOTAL_BITS) - 1)))
+        take(r, *model.interval(x))
+        model.learn(x)
         table[t, :active] = x
         before2, before1 = before1, x
     return table.T.reshape(-1)[:n]

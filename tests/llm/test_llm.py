@@ -147,6 +147,35 @@ def test_range_coder():
     assert len(range_coder.write_block([1], [np.tile(np.arange(50), 2000)], 50257)) < 100_000  # of 400,000 bytes
 
 
+def test_range_coder_mixes():
+    """Every id has a share, the shares fill the whole, each is the weighted sum, and ``find`` is the inverse of ``interval``."""
+    model = range_coder.Model(50, True)
+    rng = np.random.default_rng(1)
+    before2 = before1 = np.full(40, 50, range_coder.ID)
+    for _ in range(60):
+        ids = rng.integers(0, 12, 40).astype(range_coder.ID)
+        model.predict(before2, before1)
+        ends = []
+        for x in range(50):
+            start, size = model.interval(np.full(40, x, range_coder.ID))
+            assert (size > 0).all() and (not ends or (start == ends[-1]).all())
+            for value in (start, start + size - range_coder.U(1)):
+                assert (model.find(value) == x).all()
+            ends.append(start + size)
+        assert (ends[-1] == 1 << range_coder.TOTAL_BITS).all()
+        model.interval(ids)
+        model.learn(ids)
+        before2, before1 = before1, ids
+
+
+def test_bits_an_id(spark):
+    """Clearly fewer bits an id than the entropy of order 0, which knows all frequencies beforehand."""
+    got = np.concatenate(list(ids_of({r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}).values()))
+    share = np.bincount(got)[np.unique(got)] / len(got)
+    entropy = -(share * np.log2(share)).sum()
+    assert len(range_coder.write_block([1], [got], 50257)) * 8 / len(got) < 0.98 * entropy
+
+
 def ids_of(docs):
     from tokenizers import Tokenizer
 
