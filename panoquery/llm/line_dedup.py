@@ -73,14 +73,19 @@ def word_hashes(own: DataFrame) -> DataFrame:
 
 
 def exploded(own: DataFrame, width: int) -> DataFrame:
-    """(hash, doc_id, place) as of ``windows``, for the ``width`` words from each place in ``at``."""
-    rows = own.withColumn("w", F.transform("at", lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, width)).alias("hash"), i.alias("pos"))))
-    rows = rows.select("doc_id", "tag", F.explode_outer("w").alias("w")).where("w is not null")
-    return rows.select("w.hash", "doc_id", F.shiftleft("tag", 32).bitwiseOR(F.col("w.pos").cast("long")).alias("place"))
+    """(hash, doc_id, tag, places): the ``width`` words from each place in ``at``; equal runs of a row are one, with all their places."""
+    runs = F.transform("at", lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, width)).alias("hash"), i.alias("pos")))
+    own = own.select("doc_id", "tag", F.array_sort(runs).alias("w"))
+    new = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i)["hash"] != F.get("w", i - 1)["hash"]))
+    own = own.select("doc_id", "tag", "w", F.when(F.size("w") > 0, new).alias("b"))
+    last = lambda k: F.coalesce(F.get("b", k + 1), F.size("w"))
+    each = F.transform("b", lambda i, k: F.struct(F.get("w", i)["hash"].alias("hash"), F.transform(F.slice("w", i + 1, last(k) - i), lambda x: x["pos"]).alias("places")))
+    rows = own.select("doc_id", "tag", F.explode_outer(each).alias("g")).where("g is not null")
+    return rows.select("g.hash", "doc_id", "tag", "g.places")
 
 
 def picked_runs(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, place): the RUN words from each picked word."""
+    """(hash, doc_id, tag, places): the RUN words from each picked word."""
     # the place in the low 24 bits: of equal words the first is picked
     own = word_hashes(said(docs)).withColumn("m", F.transform("h", lambda x, i: x.bitwiseAND(-(1 << 24)).bitwiseOR(i.cast("long"))))
     for step in (1, 2, 4, 8, 8):  # smallest of 2, 4, 8, 16 and PICK in a row
@@ -91,7 +96,7 @@ def picked_runs(docs: DataFrame) -> DataFrame:
 
 
 def long_runs(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """(hash, doc_id, place): the LONG words from each place around the hashes that meet."""
+    """(hash, doc_id, tag, places): the LONG words from each place around the hashes that meet."""
     own = word_hashes(said(docs).join(sent(met), ["doc_id", "tag"]))
     around = F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(F.greatest(x - PICK + 1, F.lit(0)), x))))
     return exploded(own.withColumn("at", F.filter(around, lambda i: i <= F.size("h") - LONG)), LONG)
@@ -105,7 +110,17 @@ def sent(rows: DataFrame, most: int = 200_000) -> DataFrame:
 def meeting(found: DataFrame) -> DataFrame:
     """(doc_id, tag, starts): where hashes start that more than one document has."""
     shared = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash")
-    return starts(found.join(shared, "hash").select("doc_id", "place"))
+    return together(found.join(shared, "hash"))
+
+
+def run_hits(found: DataFrame) -> DataFrame:
+    """(doc_id, tag, starts): for each row where runs start that an earlier document has."""
+    first = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
+    return together(found.join(first, "hash").where("doc_id > first"))
+
+
+def together(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "tag").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("starts"))
 
 
 def starts(hit: DataFrame) -> DataFrame:
@@ -155,7 +170,7 @@ def dedup_lines(docs: DataFrame, p: Params = Params(), counted: str | None = Non
     first = first.withColumn(left1, F.when(F.col(gone1).isNull(), F.col("text").cast("string")).otherwise(kept))
     left = first.select(F.col(id1).alias("doc_id"), F.col(left1).alias("text"))
     met = materialise(meeting(materialise(picked_runs(left), "picked")), "met", few=True)
-    more = sent(materialise(hits(materialise(long_runs(left, met), "runs")).toDF(id1, tag2, starts1), "repeated", few=True))
+    more = sent(materialise(run_hits(materialise(long_runs(left, met), "runs")).toDF(id1, tag2, starts1), "repeated", few=True))
     out = first.withColumn(tag2, tag(F.col(left1))).join(more, [id1, tag2], "left")
     out = out.withColumn(words1, F.when(F.col(starts1).isNotNull(), F.regexp_extract_all(left1, F.lit(r"\s*+\S++\s*+"), F.lit(0))))
     out = out.withColumn(rest1, F.when(F.col(starts1).isNotNull(), without_runs(F.col(words1), F.col(starts1))))
