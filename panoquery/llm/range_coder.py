@@ -8,7 +8,7 @@ order's weight times what it gives that id. The weights are learned for each pai
 order had in the probability of the ids that came (expectation maximisation, one step an id).
 
 Intervals are kept as 64-bit ``low`` and ``range``; 32 bits go out when the range falls below 2**32 (a carryless coder: a
-range that straddles the border is cut at it).
+range that straddles the border is cut at it). Shares of a range have TOTAL_BITS bits and are held in 32.
 """
 
 from __future__ import annotations
@@ -30,13 +30,15 @@ CONF_BITS = ID(2)
 
 
 class Model:
-    """Predictions of a block, learned step by step."""
+    """Predictions of a block, learned step by step. Choices by lane are products with masks: branches on them miss."""
 
     def __init__(self, alphabet: int, inverse: bool):
         self.alphabet, self.inverse = alphabet, inverse
         self.table1, self.table2 = np.zeros(alphabet + 1, ID), np.zeros(1 << HASH_BITS, ID)  # id * CONF + confidence
-        self.gate = np.ones((2 * CONF * CONF, 3))
-        self.gate[:, 2] = 4
+        pair = np.arange(2 * CONF * CONF) // 2
+        self.gate = np.ones((3, len(pair)))
+        self.gate[2] = 4
+        self.predicts = np.array([pair // CONF > 0, pair % CONF > 0])
         self.count = np.zeros(alphabet, np.int64)
         self.fresh: list[np.ndarray] = []
         self.waiting, self.seen = 0, 0
@@ -51,63 +53,62 @@ class Model:
         room = (1 << LITERAL_BITS) - self.alphabet
         freq = 1 + (self.count * room // max(1, int(self.count.sum())))
         freq[int(self.count.argmax())] += (1 << LITERAL_BITS) - int(freq.sum())
-        self.freq = freq.astype(U)
-        ends = np.cumsum(freq)
-        self.start = (ends - freq).astype(U)
+        self.places = np.stack([np.cumsum(freq) - freq, freq], 1).astype(ID).view(U)[:, 0]  # an id's start and frequency lie together
         if self.inverse:
-            self.at = np.repeat(np.arange(self.alphabet, dtype=ID), freq)
+            self.at = np.repeat(np.arange(self.alphabet, dtype=np.uint16 if self.alphabet <= 1 << 16 else ID), freq)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and frequency of ids in order 0."""
+        both = self.places.take(x).view(ID)
+        return both[0::2], both[1::2]
 
     def weigh(self) -> None:
         """The orders' weights for each pair of confidences; 0 for an order without a prediction there."""
-        share = self.gate / self.gate.sum(1, keepdims=True)
-        weight = 1 + np.floor(share * ((1 << WEIGHT_BITS) - 3)).astype(np.int64)
-        pair = np.arange(len(weight)) // 2
-        weight[pair // CONF == 0, 0] = 0
-        weight[pair % CONF == 0, 1] = 0
-        weight[:, 2] = (1 << WEIGHT_BITS) - weight[:, 0] - weight[:, 1]
-        self.weight = [np.ascontiguousarray(weight[:, k]).astype(U) for k in range(3)]
+        share = self.gate[:2] / self.gate.sum(0)
+        weight = (share * ((1 << WEIGHT_BITS) - 3) + 1).astype(ID) * self.predicts
+        self.weight = (weight[0] << ID(WEIGHT_BITS)) + weight[1]
 
     def predict(self, before2: np.ndarray, before1: np.ndarray) -> None:
-        """Sets the predictions p2 and p1, their confidences c2 and c1, ``base``, the place of their weights, and the weights."""
+        """Sets the predictions p2 and p1, their confidences c2 and c1, ``base``, the place of their weights, and the weights.
+
+        w2 and w1 are those of all 2**LITERAL_BITS parts of order 0, w0 is that of one part.
+        """
         self.slot = ((before2 * ID(40503) + before1) * ID(2654435761) >> ID(32 - HASH_BITS)).astype(np.intp)
         self.prev = before1.astype(np.intp)
         self.v2, self.v1 = self.table2.take(self.slot), self.table1.take(self.prev)
         self.p2, self.p1, self.c2, self.c1 = self.v2 >> CONF_BITS, self.v1 >> CONF_BITS, self.v2 & ID(CONF - 1), self.v1 & ID(CONF - 1)
-        self.base = ((((self.c2 << CONF_BITS) + self.c1) << ID(1)) + (self.p2 == self.p1)).astype(np.intp)
-        self.w2, self.w1, self.w0 = (w.take(self.base) for w in self.weight)
+        self.same = self.p2 == self.p1
+        self.base = ((((self.c2 << CONF_BITS) + self.c1) << ID(1)) + self.same).astype(np.intp)
+        both = self.weight.take(self.base)
+        w2, w1 = both >> ID(WEIGHT_BITS), both & ID((1 << WEIGHT_BITS) - 1)
+        self.w2, self.w1, self.w0 = w2 << ID(LITERAL_BITS), w1 << ID(LITERAL_BITS), ID(1 << WEIGHT_BITS) - w2 - w1
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each id's share of 2**TOTAL_BITS; keeps what each order gives it, for ``learn``."""
-        self.m2 = (self.w2 * (x == self.p2)) << U(LITERAL_BITS)
-        self.m1 = (self.w1 * (x == self.p1)) << U(LITERAL_BITS)
-        below = (self.w2 * (x > self.p2) + self.w1 * (x > self.p1)) << U(LITERAL_BITS)
-        self.size = self.w0 * self.freq.take(x) + self.m2 + self.m1
-        return self.w0 * self.start.take(x) + below, self.size
+        start, freq = self.place(x)
+        self.hit2, self.hit1 = x == self.p2, x == self.p1
+        self.m2, self.m1 = self.w2 * self.hit2, self.w1 * self.hit1
+        self.size = self.w0 * freq + self.m2 + self.m1
+        return self.w0 * start + self.w2 * (x > self.p2) + self.w1 * (x > self.p1), self.size
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids whose shares hold ``value``: those of order 0 with the two predictions' shares in between."""
-        first = self.p1 <= self.p2
-        a, b = np.where(first, self.p1, self.p2), np.where(first, self.p2, self.p1)
-        wa, wb = np.where(first, self.w1, self.w2) << U(LITERAL_BITS), np.where(first, self.w2, self.w1) << U(LITERAL_BITS)
-        same = a == b
-        wa, wb = np.where(same, wa + wb, wa), np.where(same, U(0), wb)
-        begin_a = self.w0 * self.start.take(a)
-        end_a = begin_a + self.w0 * self.freq.take(a) + wa
-        begin_b = self.w0 * self.start.take(b) + wa
-        end_b = begin_b + self.w0 * self.freq.take(b) + wb
-        shift = np.where(value < begin_a, U(0), np.where(value < begin_b, wa, wa + wb))
-        at = np.where(value >= shift, value - shift, U(0)) // self.w0
-        x = self.at.take(np.minimum(at, U((1 << LITERAL_BITS) - 1)).astype(np.intp))
-        x = np.where((value >= begin_b) & (value < end_b) & ~same, b, x)
-        return np.where((value >= begin_a) & (value < end_a), a, x)
+        value = value.astype(ID, copy=False)
+        (start2, freq2), (start1, freq1) = self.place(self.p2), self.place(self.p1)
+        from2, from1 = self.w0 * start2 + self.w1 * (self.p2 > self.p1), self.w0 * start1 + self.w2 * (self.p1 > self.p2)
+        in2 = value - from2 < self.w0 * freq2 + self.w2 + self.w1 * self.same  # below its start, the difference wraps and is large
+        in1 = (value - from1 < self.w0 * freq1 + self.w1) & ~in2
+        rest = (value - self.w2 * (value >= from2) - self.w1 * (value >= from1)) * ~(in2 | in1)
+        return self.at.take((rest / self.w0).astype(np.intp)) * ~(in2 | in1) + self.p2 * in2 + self.p1 * in1
 
     def learn(self, ids: np.ndarray) -> None:
         new = (ids << CONF_BITS) + ID(1)
-        for table, place, v, p, c in ((self.table2, self.slot, self.v2, self.p2, self.c2), (self.table1, self.prev, self.v1, self.p1, self.c1)):
-            table[place] = np.where(p == ids, v + (c < CONF - 1), np.where(c <= 1, new, v - ID(1)))
+        for table, place, v, hit, c in ((self.table2, self.slot, self.v2, self.hit2, self.c2), (self.table1, self.prev, self.v1, self.hit1, self.c1)):
+            moved = np.minimum(v + hit + hit - ID(1), v | ID(CONF - 1))  # one up or down, CONF - 1 at most
+            table[place] = new + (moved - new) * (hit | (c > 1)).astype(ID)
         part2, part1 = self.m2 / self.size, self.m1 / self.size
         for k, part in enumerate((part2, part1, 1 - part2 - part1)):
-            self.gate[:, k] += np.bincount(self.base, part, minlength=len(self.gate))
+            self.gate[k] += np.bincount(self.base, part, minlength=self.gate.shape[1])
         self.weigh()
         self.fresh.append(ids)
         self.waiting += len(ids)
@@ -165,7 +166,8 @@ def encode(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
         model.learn(x)
         before2, before1 = before1, x
     _flush(words, used, low, slice(0, lanes))
-    return used.astype(np.uint32), words.T[np.arange(len(words))[None, :] < used[:, None]]
+    most = int(used.max())  # the rows behind it were never touched
+    return used.astype(np.uint32), np.ascontiguousarray(words[:most].T)[np.arange(most) < used[:, None]]
 
 
 def _flush(words: np.ndarray, used: np.ndarray, low: np.ndarray, which: slice) -> None:
@@ -182,9 +184,9 @@ def decode(n: int, lanes: int, used: np.ndarray, words: np.ndarray, alphabet: in
     model = Model(alphabet, True)
     ends = np.cumsum(used.astype(np.int64))
     at = ends - used
-    words = np.append(words, np.zeros(2, np.uint32)).astype(U)
+    words = np.append(words, np.zeros(2, np.uint32))
     low, span = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
-    code = words[at] << U(32) | words[at + 1]
+    code = words[at].astype(U) << U(32) | words[at + 1]
     at = at + 2
     before2 = before1 = np.full(lanes, alphabet, ID)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ PIECES = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_L}{_N}]+
 # The sign that stands for each byte inside a byte-level model: itself where it is printable, else the next one from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = dict(zip(_PRINTABLE, _PRINTABLE, strict=True)) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+SPACE = chr(BYTE_SIGNS[ord(" ")])
 
 
 def byte_bpe() -> str:
@@ -40,7 +42,12 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        raw = self[piece] = np.array([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))], ID_TYPE).tobytes()
+        if piece.isascii() and piece[-1] > " ":  # no white space but a space before
+            signs = SPACE + piece[1:] if piece[0] == " " else piece
+        else:
+            signs = piece.encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = [t.id for t in self.tokenize(signs)]
+        raw = self[piece] = pack(f"<{len(ids)}I", *ids)
         return raw
 
 

@@ -168,6 +168,19 @@ def test_range_coder_mixes():
         before2, before1 = before1, ids
 
 
+def test_range_coder_narrow():
+    """Shares are held in 32 bits, up to the widest, which halves what a step moves; the blocks are those of 64-bit shares."""
+    model = range_coder.Model(50257, True)
+    before = np.full(3, 50257, range_coder.ID)
+    model.predict(before, before)
+    ids = np.array([0, 7, 50256], range_coder.ID)
+    start, size = model.interval(ids)
+    assert start.dtype == size.dtype == model.find(start).dtype == np.uint32
+    assert int(start[-1]) + int(size[-1]) == 1 << range_coder.TOTAL_BITS and (model.find(start + size - range_coder.ID(1)) == ids).all()
+    n = np.arange(20_000, dtype=np.uint64)
+    assert zlib.crc32(range_coder.encode(((n * n + n // np.uint64(7)) % np.uint64(50257)).astype("<u4"), 50257)[1].astype("<u4").tobytes()) == 986951515
+
+
 def test_bits_an_id(spark):
     """Clearly fewer bits an id than the entropy of order 0, which knows all frequencies beforehand."""
     got = np.concatenate(list(ids_of({r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}).values()))
