@@ -7,14 +7,16 @@ covers go, and what stays is joined again as it was. Windows of fewer than ``Par
 alone there.
 
 Lines are cut by a running count, so a second pass looks, in what the first has left, for passages of LONG = 50 words of an
-earlier document wherever they begin and however short their lines. Of every PICK words in a row the one with the smallest
-hash is picked (winnowing); equal passages share a picked word whatever stands before them, and so the hash of the RUN
-words from it. Where such hashes meet, all runs of LONG words around them are compared.
+earlier document wherever they begin and however short their lines. A word is marked by its own hash (MARKED of 32). Of every
+PICK words in a row the marked one with the smallest hash is picked (winnowing), or the first if none is marked; equal passages
+share a picked word whatever stands around them, and so the hash of the RUN words from it. Where such hashes meet, all runs of
+LONG words around them are compared.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from panoquery.llm.common import free, materialise, small
 
 
-LONG, PICK = 50, 24
+LONG, PICK, MARKED = 50, 36, 4
 RUN = LONG - PICK + 1
 
 
@@ -37,6 +39,11 @@ def lines(text: Column, p: Params) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"\s*+(?:\S++(?<![.!?])[^\S\n]++(?!\n)){{0,{p.words - 1}}}\S++\s*+"), F.lit(0))
 
 
+def spaced(text: Column, others: str) -> Column:
+    """The text with a space for each of the characters ``others``; much faster than ``translate``."""
+    return reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), others, text)
+
+
 def tag(text: Column) -> Column:
     """32 bits that tell rows with the same doc_id and other texts apart."""
     return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
@@ -47,11 +54,11 @@ def windows(docs: DataFrame, p: Params) -> DataFrame:
 
     Lines are compared without case and the white space around them.
     """
-    own = docs.select("doc_id", tag(F.col("text")).alias("tag"), lines(F.lower("text"), p).alias("lines"))
-    own = own.select("doc_id", "tag", F.transform("lines", lambda x: F.struct(F.xxhash64(F.trim(F.rtrim(F.translate(x, "\t\n\r", "   ")))).alias("h"), F.length(x).alias("n"))).alias("h"))
+    own = docs.select("doc_id", tag(F.col("text")).alias("tag"), lines(spaced(F.lower("text"), "\t\r"), p).alias("lines"))
+    own = own.select("doc_id", "tag", F.transform("lines", lambda x: F.xxhash64(F.trim(spaced(x, "\n")))).alias("h"), F.transform("lines", F.length).alias("n"))
     each = F.transform(
-        F.sequence(F.lit(1), F.size("h") - 2),
-        lambda i: F.when(F.col("h")[i - 1]["n"] + F.col("h")[i]["n"] + F.col("h")[i + 1]["n"] >= p.least, F.xxhash64(F.col("h")[i - 1]["h"], F.col("h")[i]["h"], F.col("h")[i + 1]["h"])),
+        F.slice("h", F.lit(1), F.size("h") - 2),
+        lambda x, i: F.when(F.get("n", i) + F.get("n", i + 1) + F.get("n", i + 2) >= p.least, F.xxhash64(x, F.get("h", i + 1), F.get("h", i + 2))),
     )
     own = own.select("doc_id", "tag", F.when(F.size("h") >= 3, each).alias("w"))
     # the outer form keeps Catalyst from computing the lines a second time in a filter
@@ -67,32 +74,42 @@ def said(docs: DataFrame) -> DataFrame:
 
 
 def word_hashes(own: DataFrame) -> DataFrame:
-    """``own`` with the hashes ``h`` of the words in place of the text; null for texts of fewer than LONG."""
-    own = own.withColumn("h", F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"\S++"), F.lit(0)), lambda x: F.xxhash64(x))).drop("text")
-    return own.withColumn("h", F.when(F.size("h") >= LONG, F.col("h")))
+    """``own`` with the hashes ``h`` of the words in place of the text."""
+    words = F.array_remove(F.split(spaced(F.lower("text"), "\t\n\x0b\f\r"), " "), "")
+    return own.withColumn("h", F.transform(words, lambda x: F.xxhash64(x))).drop("text")
 
 
 def exploded(own: DataFrame, width: int) -> DataFrame:
     """(hash, doc_id, tag, places): the ``width`` words from each place in ``at``; equal runs of a row are one, with all their places."""
-    runs = F.transform("at", lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, width)).alias("hash"), i.alias("pos")))
-    own = own.select("doc_id", "tag", F.array_sort(runs).alias("w"))
+    own = own.select("doc_id", "tag", "at", F.transform("at", lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(width)])).alias("r"))  # slice() copies all of h for each
+    runs = F.transform("r", lambda x, k: F.struct(x.alias("hash"), F.get("at", k).alias("pos")))
+    own = own.select("doc_id", "tag", "at", "r", F.when(F.size(F.array_distinct("r")) < F.size("r"), F.array_sort(runs)).alias("w"))
     new = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i)["hash"] != F.get("w", i - 1)["hash"]))
-    own = own.select("doc_id", "tag", "w", F.when(F.size("w") > 0, new).alias("b"))
+    own = own.select("doc_id", "tag", "at", "r", "w", F.when(F.size("w") > 0, new).alias("b"))
     last = lambda k: F.coalesce(F.get("b", k + 1), F.size("w"))
-    each = F.transform("b", lambda i, k: F.struct(F.get("w", i)["hash"].alias("hash"), F.transform(F.slice("w", i + 1, last(k) - i), lambda x: x["pos"]).alias("places")))
-    rows = own.select("doc_id", "tag", F.explode_outer(each).alias("g")).where("g is not null")
+    some = F.transform("b", lambda i, k: F.struct(F.get("w", i)["hash"].alias("hash"), F.transform(F.slice("w", i + 1, last(k) - i), lambda x: x["pos"]).alias("places")))
+    each = F.transform("r", lambda x, k: F.struct(x.alias("hash"), F.array(F.get("at", k)).alias("places")))
+    rows = own.select("doc_id", "tag", F.explode_outer(F.when(F.col("w").isNull(), each).otherwise(some)).alias("g")).where("g is not null")
     return rows.select("g.hash", "doc_id", "tag", "g.places")
 
 
+def picked_places(own: DataFrame) -> DataFrame:
+    """``own`` with the places ``at`` of the picked words of ``h`` that RUN words begin with (of marked ones a few more: smaller ones are looked for three marks to each side)."""
+    marked = F.array_compact(F.transform("h", lambda x, i: F.when(x.bitwiseAND(31) < MARKED, i)))
+    own = own.withColumn("m", F.when(F.size("h") >= LONG, F.concat(F.array(F.lit(-1)), marked, F.array(F.size("h")))))
+    # the text's ends bound its windows as smaller hashes do
+    value = lambda i: F.coalesce(F.get("h", i), F.lit(-(1 << 63)))
+    before = lambda x, k: F.coalesce(*[F.when(value(F.get("m", k - j)) <= x, F.get("m", k - j)) for j in (1, 2, 3)])
+    after = lambda x, k: F.coalesce(*[F.when(value(F.get("m", k + j)) < x, F.get("m", k + j)) for j in (1, 2, 3)])
+    least = F.transform("m", lambda i, k: F.when(F.coalesce(after(F.get("h", i), k) - before(F.get("h", i), k) > PICK, F.lit(True)), i))
+    between = lambda k: F.when(F.get("m", k) - F.get("m", k - 1) > PICK, F.sequence(F.get("m", k - 1) + 1, F.get("m", k) - PICK))
+    bare = F.flatten(F.array_compact(F.transform(F.sequence(F.lit(1), F.size("m") - 1), between)))
+    return own.withColumn("at", F.filter(F.concat(least, bare), lambda i: (i >= 0) & (i <= F.size("h") - RUN))).drop("m")
+
+
 def picked_runs(docs: DataFrame) -> DataFrame:
     """(hash, doc_id, tag, places): the RUN words from each picked word."""
-    # the place in the low 24 bits: of equal words the first is picked
-    own = word_hashes(said(docs)).withColumn("m", F.transform("h", lambda x, i: x.bitwiseAND(-(1 << 24)).bitwiseOR(i.cast("long"))))
-    for step in (1, 2, 4, 8, 8):  # smallest of 2, 4, 8, 16 and PICK in a row
-        n = F.size("m") - step
-        own = own.withColumn("m", F.zip_with(F.slice("m", F.lit(1), n), F.slice("m", F.lit(step + 1), n), lambda x, y: F.least(x, y)))
-    at = F.transform(F.array_distinct("m"), lambda x: x.bitwiseAND((1 << 24) - 1).cast("int"))
-    return exploded(own.withColumn("at", F.filter(at, lambda i: i <= F.size("h") - RUN)), RUN)
+    return exploded(picked_places(word_hashes(said(docs))), RUN)
 
 
 def long_runs(docs: DataFrame, met: DataFrame) -> DataFrame:
@@ -120,7 +137,7 @@ def run_hits(found: DataFrame) -> DataFrame:
 
 
 def together(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "tag").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("starts"))
+    return rows.groupBy("doc_id", "tag").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("starts"))
 
 
 def starts(hit: DataFrame) -> DataFrame:
@@ -129,14 +146,11 @@ def starts(hit: DataFrame) -> DataFrame:
 
 
 def without_runs(words: Column, found: Column) -> Column:
-    """The text of ``words`` (a column of its own, else made anew in each step) without the LONG words from each of ``found``, and how many words went."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("gone"))
-
-    def step(acc: Column, x: Column) -> Column:
-        out = F.concat(acc["out"], F.array_join(F.slice(words, acc["at"] + 1, F.greatest(x - acc["at"], F.lit(0))), ""))
-        return F.struct((x + LONG).alias("at"), out.alias("out"), (acc["gone"] + x + LONG - F.greatest(x, acc["at"])).alias("gone"))
-
-    return F.aggregate(F.array_sort(found), first, step, lambda acc: F.struct(F.concat(acc["out"], F.array_join(F.slice(words, acc["at"] + 1, F.greatest(F.size(words) - acc["at"], F.lit(0))), "")).alias("text"), acc["gone"].alias("gone")))
+    """The words of ``words`` that none of the LONG words from each of ``found`` covers. Both are columns of their own, else made anew in each step."""
+    at = lambda k: F.coalesce(F.get(found, k), F.size(words))
+    end = lambda k: F.coalesce(F.get(found, k - 1) + LONG, F.lit(0))
+    kept = F.filter(F.sequence(F.lit(0), F.size(found)), lambda k: at(k) > end(k))
+    return F.flatten(F.transform(kept, lambda k: F.slice(words, end(k) + 1, at(k) - end(k))))
 
 
 def hits(found: DataFrame) -> DataFrame:
@@ -174,6 +188,6 @@ def dedup_lines(docs: DataFrame, p: Params = Params(), counted: str | None = Non
     out = first.withColumn(tag2, tag(F.col(left1))).join(more, [id1, tag2], "left")
     out = out.withColumn(words1, F.when(F.col(starts1).isNotNull(), F.regexp_extract_all(left1, F.lit(r"\s*+\S++\s*+"), F.lit(0))))
     out = out.withColumn(rest1, F.when(F.col(starts1).isNotNull(), without_runs(F.col(words1), F.col(starts1))))
-    text = F.when(F.col(starts1).isNotNull(), F.col(rest1)["text"]).when(F.col(gone1).isNotNull(), F.col(left1)).otherwise(F.col("text"))
-    count = F.when(F.col(gone1).isNull(), 0).otherwise(F.size(gone1)) + F.coalesce(F.ceil(F.col(rest1)["gone"] / p.words), F.lit(0))
+    text = F.when(F.col(starts1).isNotNull(), F.array_join(rest1, "")).when(F.col(gone1).isNotNull(), F.col(left1)).otherwise(F.col("text"))
+    count = F.when(F.col(gone1).isNull(), 0).otherwise(F.size(gone1)) + F.coalesce(F.ceil((F.size(words1) - F.size(rest1)) / p.words), F.lit(0))
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], count.cast("long").alias(counted))

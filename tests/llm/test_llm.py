@@ -457,6 +457,33 @@ def test_line_dedup_short_lines(spark):
     assert got == {1: rows[0][1], 2: "other words here last"}
 
 
+def test_line_dedup_picks(spark):
+    """Of every PICK words in a row one is picked, of unmarked words too, and equal passages share one; no step copies a text's words for each of its places."""
+    rng = np.random.default_rng(7)
+    marks = spark.range(4000).select(F.concat(F.lit("w"), "id").alias("w")).withColumn("m", F.xxhash64("w").bitwiseAND(31) < line_dedup.MARKED).collect()
+    every, bare = [r.w for r in marks], [r.w for r in marks if not r.m]
+    own = lambda pool, n: [pool[k] for k in rng.integers(0, len(pool), n)]
+    rows, shared = [], own(every, 50)
+    for k, passage in enumerate([shared, shared, own(bare, 50), own(bare[:2], 60), own(every[:9], 70)] * 2):
+        rows.append((k, own(every, 20 + 3 * k) + passage + own(bare, 10 * (k % 3))))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows] + [(98, " ".join(own(every, 49))), (99, None)], "doc_id long, text string")
+    found = line_dedup.picked_runs(docs)
+    at = {k: set() for k, _ in rows}
+    for r in found.collect():
+        at[r.doc_id] |= set(r.places)
+    for k, w in rows:
+        assert all(at[k] & set(range(i, i + line_dedup.PICK)) for i in range(len(w) - line_dedup.LONG + 1)) and len(at[k]) < len(w)
+    runs = {}
+    for k, w in rows:
+        for i in range(len(w) - line_dedup.LONG + 1):
+            runs.setdefault(tuple(w[i : i + line_dedup.LONG]), []).append((k, i))
+    met = {r.doc_id: set(r.starts) for r in line_dedup.meeting(found).collect()}
+    both = [x for x in runs.values() if len({k for k, _ in x}) > 1]
+    assert both and all(met[k] & set(range(i, i + line_dedup.PICK)) for x in both for k, i in x)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(h#" not in plan(found) and "translate" not in plan(line_dedup.windows(docs, line_dedup.Params()))
+
+
 def test_decontamination(spark, sf, odd, none):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     plain = lambda t: f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} "
